@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import bpe_codec, license_scan, minhash_dedup, quality_classifier, url_filter, vp_search, warc_store
+from timberline.llm import bpe_codec, decontaminate, license_scan, lm_score, minhash_dedup, quality_classifier, substring_dedup, url_filter, vp_search, warc_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,14 +26,26 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_store.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.bpe_encode(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -43,5 +55,11 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_links", "n_words")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_vp_search, op3_quality_classifier, op5_url_filter, op7_warc_round_trip, op9_bpe_codec, op10_minhash_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_vp_search, op3_quality_classifier, op4_substring_dedup, op5_url_filter,
+        op6_lm_score, op7_warc_round_trip, op8_decontaminate, op9_bpe_codec, op10_minhash_dedup,
+    )
+}
 ORACLE_SQL = {"op2_vp_search": vp_search.ORACLE_SQL, "op5_url_filter": url_filter.ORACLE_SQL}
