@@ -17,10 +17,10 @@ Two documents of the threshold's similarity agree in one sketch with a
 probability of about 0.8 ** 2 = 0.64, and in none of 12 with 5e-6.
 
 Copies of one text are one class from the start, found by digest, and take part
-once. Within a bucket rows are not paired with each other: in each round they
-are paired with a few leaders only, and buckets whose rows have all joined one
-class, or have all met, are done. The number of leaders grows from round to
-round, until every row has met every row that isn't yet of its class.
+once. In a large bucket each text meets the leader only, which joins most of
+them; where texts of several classes remain, they are compared in blocks of
+bounded size, whose counts of common k-mers are never emitted as pairs. So no
+link between two texts that share a bucket is lost, and no bucket is cut off.
 Classes are the connected components of verified pairs.
 
 Word sequences travel as 32-bit word hashes.
@@ -35,12 +35,13 @@ aligned within the band; an empty table gives an empty result.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline.llm.components import connected_components
@@ -52,7 +53,7 @@ SKETCHES = 12
 ORDER = 2
 THRESHOLD = 0.8
 SMALL = 8  # buckets of so many texts or fewer are compared at once
-GROWTH = 8
+BLOCK_KMERS = 100_000
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
 
 
@@ -242,56 +243,122 @@ def _packed_kmers(packed) -> np.ndarray:
 
 
 def verified_edges(docs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """a, b, similarity of verified pairs of distinct texts. ``texts``: node, rep,
-    m, s with one row per distinct text."""
+    """a, b, similarity of verified pairs of distinct texts that connect all that
+    is linked. ``texts``: node, rep, m, s with one row per distinct text."""
     rows = texts.where("m > 0").select("node", "m", F.explode("s").alias("bucket"))
-    shared = scratch.save(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
-    members = scratch.save(rows.join(shared, "bucket"), "members-0")
-    nodes = members.select("node").distinct().join(texts.select("node", "rep"), "node")
-    words = scratch.save(word_table(docs, nodes), "words")
-    found = labels = None
-    met, leaders, step = 0, 1, 0
-    by_node = Window.partitionBy("bucket").orderBy("node")
-    while True:
-        # The first rows of a bucket lead it, in an order that all buckets share;
-        # Spark limits the rows of each bucket before it shuffles them.
-        wanted = F.when(F.col("size") <= SMALL, F.lit(SMALL)).otherwise(F.lit(leaders))
-        lead = members.withColumn("k", F.row_number().over(by_node)).where(F.col("k") <= max(SMALL, leaders)).where((F.col("k") <= wanted) & (F.col("k") > met))
-        lead = scratch.save(lead.select("bucket", F.col("node").alias("a"), F.col("m").alias("am")), f"leaders-{step}")
-        pairs = members.select("bucket", F.col("node").alias("b"), F.col("m").alias("bm")).join(lead, "bucket").where(f"a < b and least(am, bm) >= {THRESHOLD} * greatest(am, bm)")
-        if labels is not None:
-            one = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-            two = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-            pairs = pairs.join(one, "a", "left").join(two, "b", "left").where("coalesce(la, a) <> coalesce(lb, b)")
-        edges = scratch.save(verify(pairs.select("a", "b").distinct(), words), f"edges-{step}")
-        found = edges if found is None else found.unionByName(edges)
-        members = members.where(F.col("size") > max(SMALL, leaders))
-        met, leaders, step = leaders, max(leaders * GROWTH, SMALL), step + 1
-        if not members.limit(1).count():
-            return found.distinct()
-        labels = connected_components(found, scratch, f"cc{step}")
-        known = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        still = known.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-        still = scratch.save(still, f"open-{step}")
-        members = scratch.save(members.join(still, "bucket"), f"members-{step}")
-        if not members.limit(1).count():
-            return found.distinct()
+    shared = scratch.save(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("m").alias("mass")).where("size > 1"), "buckets")
+    members = scratch.save(rows.join(shared, "bucket"), "members")
+    weight = scratch.save(members.groupBy("node").agg(F.sum("size").alias("weight")), "weight")
+    words = scratch.save(word_table(docs, weight.select("node").join(texts.select("node", "rep"), "node")), "words")
+
+    # Few texts: each meets each. Many: each meets the leader, the text that shares
+    # the most sketches with others, such as the one that the others were made from.
+    few, many = members.where(F.col("size") <= SMALL), scratch.save(members.where(F.col("size") > SMALL), "many")
+    one = few.select("bucket", F.col("node").alias("a"), F.col("m").alias("am"))
+    two = few.select("bucket", F.col("node").alias("b"), F.col("m").alias("bm"))
+    fits = f"least(am, bm) >= {THRESHOLD} * greatest(am, bm)"
+    each = one.join(two, "bucket").where(f"a < b and {fits}").select("a", "b")
+    lead = many.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node", "m")).alias("x"))
+    lead = scratch.save(lead.select("bucket", F.col("x.node").alias("b"), F.col("x.m").alias("bm")), "leaders")
+    led = many.select("bucket", F.col("node").alias("a"), F.col("m").alias("am")).join(lead, "bucket").where(f"a <> b and {fits}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = scratch.save(verify(each.unionByName(led).distinct(), words), "edges-led")
+    if not many.limit(1).count():
+        return edges
+
+    # Buckets whose texts aren't of one class yet: the rest are compared in blocks.
+    labels = connected_components(edges, scratch, "led")
+    known = scratch.save(many.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    still = known.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(F.col("bucket").alias("k"))
+    still = scratch.save(still, "open")
+    rest = known.join(still, F.col("bucket") == F.col("k")).join(words.withColumnRenamed("node", "w"), F.col("node") == F.col("w"))
+    number = F.ceil(F.col("mass") / BLOCK_KMERS).cast("int")
+    block = F.pmod(F.xxhash64("node"), number).cast("int").alias("block")
+    packed = rest.select("bucket", block, "node", "label", "words").groupBy("bucket", "block").agg(F.collect_list(F.struct("node", "label", "words")).alias("rows"))
+    packed = scratch.save(packed, "blocks")
+    left = packed.select("bucket", F.col("block").alias("i"), F.col("rows").alias("x"))
+    right = packed.select("bucket", F.col("block").alias("j"), F.col("rows").alias("y"))
+    found = left.join(right, "bucket").where("i <= j").select("x", "y").mapInArrow(_compare_blocks, "a binary, b binary, similarity double")
+    return edges.unionByName(scratch.save(found.distinct(), "edges-rest"))
+
+
+@dataclass
+class _Block:
+    """Texts of a bucket: their k-mers, labelled with occurrences, as postings."""
+
+    nodes: list[bytes]
+    labels: list[bytes]
+    grams: list[np.ndarray]
+    marked: list[np.ndarray]
+
+    @staticmethod
+    def of(rows: list[dict]) -> _Block:
+        grams = [_packed_kmers(r["words"]) for r in rows]
+        first = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
+        flat = np.concatenate(grams)
+        marked = mix(flat + occurrence_labels(flat, first).astype(U) * U(0x9FB21C651E98DF25))
+        return _Block([r["node"] for r in rows], [r["label"] for r in rows], grams, [marked[i:j] for i, j in zip(first[:-1], first[1:])])
+
+    def postings(self) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.concatenate(self.marked)
+        owner = np.repeat(np.arange(len(self.marked)), [len(x) for x in self.marked])
+        order = np.argsort(flat, kind="stable")
+        return flat[order], owner[order]
+
+
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between texts of different classes in two blocks of one bucket. The
+    common k-mers of a text with all texts of a block are counted at once, so what
+    is held is a row of counts; each class is linked by its best text that aligns."""
+    for batch in batches:
+        found = []
+        for r in range(batch.num_rows):
+            x, y = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
+            everyone = Counter(row["label"] for row in x + y)
+            if len(everyone) < 2:
+                continue
+            usual = everyone.most_common(1)[0][0]
+            bx, by = _Block.of(x), _Block.of(y)
+            found += _links(bx, by, usual)
+            if batch.column(0)[r] != batch.column(1)[r]:
+                found += _links(by, bx, usual)
+        a, b, s = zip(*found) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
+
+
+def _links(some: _Block, all_of: _Block, usual: bytes) -> Iterator[tuple[bytes, bytes, float]]:
+    """Links of the texts of ``some`` that aren't of the usual class."""
+    flat, owner = all_of.postings()
+    size = np.array([len(g) for g in all_of.grams])
+    for i, label in enumerate(some.labels):
+        if label == usual:
+            continue
+        low, high = np.searchsorted(flat, some.marked[i], "left"), np.searchsorted(flat, some.marked[i], "right")
+        count = high - low
+        hits = owner[np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+        common = np.bincount(hits, minlength=len(size))
+        near = common / (size + len(some.marked[i]) - common)
+        linked = {label}
+        for j in sorted(np.flatnonzero(near >= THRESHOLD - 1e-12).tolist(), key=lambda j: -near[j]):
+            if all_of.labels[j] not in linked:
+                s = similarity(some.grams[i], all_of.grams[j])
+                if s >= THRESHOLD - 1e-12:
+                    linked.add(all_of.labels[j])
+                    yield min(some.nodes[i], all_of.nodes[j]), max(some.nodes[i], all_of.nodes[j]), s
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (the smallest id of its
-    class), n_links (verified links of its text to other texts), n_words, node."""
+    class), n_words and node, the digest of its text."""
     scratch = Scratch(docs.sparkSession, "near")
     table = scratch.save(sketch_table(docs), "sketches")
     texts = table.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("m").alias("m"), F.first("s").alias("s"))
     texts = scratch.save(texts, "texts")
     edges = scratch.save(verified_edges(docs, texts, scratch), "edges")
     labels = connected_components(edges, scratch, "last")
-    links = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     classes = texts.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = classes.groupBy("label").agg(F.min("rep").alias("class_id"))
-    classes = scratch.save(classes.join(least, "label").join(links, "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
-    return table.join(classes, "node").select("doc_id", "class_id", "n_links", F.col("n").alias("n_words"), "node")
+    classes = scratch.save(classes.join(least, "label").select("node", "class_id"), "classes")
+    return table.join(classes, "node").select("doc_id", "class_id", F.col("n").alias("n_words"), "node")
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
