@@ -42,12 +42,12 @@ from pyspark.sql import functions as F
 from timberline.llm.scratch import Scratch, partitions_for
 from timberline.llm.textkit import U, column_bytes, mix, slices, split_words
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES, CHUNK_MOST = 4 << 20, 64 << 20
 END, BEGIN = U(0xA5A5F00DCAFE1234), U(0x1357BEEF2468ACE1)
 CONTEXT_BUCKETS = 24  # by powers of two of c(h); bucket 0: never seen
 BINS = 96  # of each probability, by its logarithm
 DELETED_FOLDS = 10  # one in so many training documents is the deleted fold
-RANGE_MB = 6
+RANGE_MB = 2
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -90,7 +90,13 @@ class Chunk:
         return int(np.bitwise_xor.reduce(self.words, initial=U(0)) ^ np.bitwise_xor.reduce(self.pairs, initial=U(len(self.row)))) & (2**63 - 1)
 
 
-def numbered(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+def chunk_bytes(size: int) -> int:
+    """Larger inputs have more ranges, so their chunks are larger too (as the square
+    root), which keeps what a chunk sends to a range from falling to single words."""
+    return int(min(CHUNK_MOST, CHUNK_BYTES * max(1.0, (size / 30e9) ** 0.5)))
+
+
+def numbered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
     """Chunks of doc_id, fold, text batches, numbered by partition and place."""
     from pyspark import TaskContext
 
@@ -113,13 +119,19 @@ def chunk_of(held: list[pa.RecordBatch]) -> Chunk:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Byte planes: sorted hashes share their upper bytes, small counts are zeros."""
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    """Compressed byte planes: sorted hashes share their upper bytes, and most
+    counts are ones."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
 
 
 def unplanes(raw: bytes, kind) -> np.ndarray:
+    import zstandard
+
     size = np.dtype(kind).itemsize
-    return np.frombuffer(raw, np.uint8).reshape(size, -1).T.copy().view(kind).reshape(-1)
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return flat.reshape(size, -1).T.copy().view(kind).reshape(-1)
 
 
 # ------------------------------------------------------------------ counts
@@ -127,12 +139,12 @@ _ASK = pa.schema([("range", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int6
 _GOT = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("range", pa.int32()), ("sum", pa.int64()), ("counts", pa.binary()), ("vocabulary", pa.int64()), ("tokens", pa.int64()), ("deleted", pa.int64())])
 
 
-def _ask(ranges_log2: int):
+def _ask(ranges_log2: int, limit: int):
     """Each chunk's distinct words (kind 0) and pairs (kind 1), range by range,
     with how often training documents, and those of the deleted fold, have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, held in numbered(batches):
+        for number, held in numbered(batches, limit):
             chunk = chunk_of(held)
             fold = chunk.fold[chunk.row]
             rows, check = [], chunk.checksum()
@@ -156,14 +168,15 @@ def _sum_range(table: pa.Table) -> pa.Table:
         part = table.filter(pa.compute.equal(table["kind"], kind))
         if not part.num_rows:
             continue
-        hashes = [unplanes(h, np.uint64) for h in part["hashes"].to_pylist()]
-        counts = np.concatenate([unplanes(c, np.uint32).reshape(-1, 2) for c in part["counts"].to_pylist()])
+        hashes = [unplanes(h.as_py(), np.uint64) for h in part["hashes"]]
+        sizes = [len(h) for h in hashes]
+        counts = np.concatenate([unplanes(c.as_py(), np.uint32).reshape(-1, 2) for c in part["counts"]])
         distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        del hashes
         total = np.stack([np.bincount(at, counts[:, k], len(distinct)) for k in (0, 1)], 1).astype(np.uint32)
-        ends = np.cumsum([len(h) for h in hashes])
-        for r, (end, h) in enumerate(zip(ends, hashes)):
+        for r, (end, size) in enumerate(zip(np.cumsum(sizes), sizes)):
             known = (int((total[:, 0] > 0).sum()), *(int(x) for x in total.sum(0, dtype=np.int64))) if kind == 0 and r == 0 else (0, 0, 0)
-            out.append((part["chunk"][r].as_py(), kind, part["range"][r].as_py(), part["sum"][r].as_py(), planes(total[at[end - len(h) : end]].reshape(-1)), *known))
+            out.append((part["chunk"][r].as_py(), kind, part["range"][r].as_py(), part["sum"][r].as_py(), planes(total[at[end - size : end]].reshape(-1)), *known))
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _GOT)], schema=_GOT)
 
 
@@ -239,12 +252,12 @@ def _histogram(tokens: int, deleted: int):
     return run
 
 
-def _fold_tokens(begin: int):
+def _fold_tokens(begin: int, limit: int):
     """The deleted fold's tokens as places in their chunk's words and pairs."""
     schema = pa.schema([("chunk", pa.int64()), ("sum", pa.int64()), ("n_words", pa.int64()), ("n_pairs", pa.int64()), ("begin", pa.int64()), ("word", pa.binary()), ("pair", pa.binary()), ("context", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, held in numbered(batches):
+        for number, held in numbered(batches, limit):
             chunk = chunk_of(held)
             mine = chunk.fold[chunk.row] == 2
             if mine.any():
@@ -256,18 +269,22 @@ def _fold_tokens(begin: int):
 
 
 # ------------------------------------------------------------------ scores
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(limit: int):
     """Each chunk as one compressed row."""
-    import zstandard
-
     schema = pa.schema([("chunk", pa.int64()), ("rows", pa.binary())])
-    squeeze = zstandard.ZstdCompressor(level=1)
-    for number, held in numbered(batches):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held[0].schema) as out:
-            for batch in held:
-                out.write_batch(batch)
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([squeeze.compress(sink.getvalue())], pa.binary())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for number, held in numbered(batches, limit):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as out:
+                for batch in held:
+                    out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([squeeze.compress(sink.getvalue())], pa.binary())], schema=schema)
+
+    return run
 
 
 def token_scores(word: np.ndarray, pair: np.ndarray, context: np.ndarray, tokens: int, vocabulary: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -306,7 +323,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "lm")
     kept = docs.select(docs["doc_id"], fold_of(docs["doc_id"]).alias("fold"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     ranges_log2 = max(1, (partitions_for(spark, kept, RANGE_MB) - 1).bit_length())
-    asked = kept.mapInArrow(_ask(ranges_log2), "range int, kind int, chunk long, sum long, hashes binary, counts binary")
+    limit = chunk_bytes(int(str(kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+    asked = kept.mapInArrow(_ask(ranges_log2, limit), "range int, kind int, chunk long, sum long, hashes binary, counts binary")
     got = scratch.save(asked.groupBy("range").applyInArrow(_sum_range, "chunk long, kind int, range int, sum long, counts binary, vocabulary long, tokens long, deleted long"), "counts")
     by_fold = {r["fold"]: r["n"] for r in kept.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}  # three rows
     size = got.agg(F.sum("vocabulary").alias("v"), F.sum("tokens").alias("n"), F.sum("deleted").alias("d")).first()
@@ -314,7 +332,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     answers = got.select("chunk", "kind", "range", "sum", "counts")
     begin, begin_deleted = by_fold.get(0, 0) + by_fold.get(2, 0), by_fold.get(2, 0)
 
-    fold = kept.mapInArrow(_fold_tokens(begin - begin_deleted), "chunk long, sum long, n_words long, n_pairs long, begin long, word binary, pair binary, context binary")
+    fold = kept.mapInArrow(_fold_tokens(begin - begin_deleted, limit), "chunk long, sum long, n_words long, n_pairs long, begin long, word binary, pair binary, context binary")
     cells = fold.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_histogram(tokens, deleted), "code long, n long")
     cells = cells.groupBy("code").agg(F.sum("n").alias("n")).collect()  # BINS * BINS * CONTEXT_BUCKETS rows at most
     weights = learn_weights(sorted((c["code"] // BINS**2, c["code"] // BINS % BINS, c["code"] % BINS, c["n"]) for c in cells), 1 / (vocabulary + 1))
@@ -324,5 +342,5 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = pa.schema([("doc_id", to_arrow_type(kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    packed = kept.mapInArrow(_pack, "chunk long, rows binary")
+    packed = kept.mapInArrow(_pack(limit), "chunk long, rows binary")
     return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scorer(tokens, vocabulary, begin, weights, arrow), f"doc_id {kind.simpleString()}, {fields}")
