@@ -41,8 +41,6 @@ def coalesce_blocks(lines: DataFrame) -> DataFrame:
         grown = F.struct(last["byte"].alias("byte"), F.concat(last["text"], F.lit("\n"), x["line"]).alias("text"), (last["n"] + 1).alias("n"), (last["size"] + 1 + x["size"]).alias("size"))
         return F.when(full, F.concat(blocks, F.array(one(x)))).otherwise(F.concat(F.slice(blocks, 1, F.greatest(F.size(blocks) - 1, F.lit(0))), F.array(grown)))
 
-    blocks = F.aggregate(F.slice("rows", 2, MAX_ROWS), F.array(one(F.element_at("rows", 1))).cast(kind), lambda a, x: add(a, x).cast(kind))
+    blocks = F.aggregate(F.slice("rows", F.lit(2), F.size("rows")), F.array(one(F.element_at("rows", 1))).cast(kind), lambda a, x: add(a, x).cast(kind))
     return gathered.select("path", F.explode(blocks).alias("b")).select("path", "b.byte", "b.text")
 
-
-MAX_ROWS = 2**31 - 1

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from timberline.functions import ids, time
 from timberline.functions.redact import redact, redact_json
 from timberline.operators.coalesce import coalesce_blocks
-from timberline.operators.parse import FIELDS, parse_block
+from timberline.operators.parse import FIELDS, parse_blocks
 from timberline.schema import LOG_SCHEMA
 
 
@@ -19,8 +19,8 @@ def rows_from_blocks(blocks: DataFrame, now_ms: Column, source: Column, redacted
     position. Redaction comes before the identity; ids and codes aren't redacted.
     """
     year = F.year(F.timestamp_millis(now_ms))
-    got = blocks.withColumn("parsed", parse_block(F.col("text"), year)).where(F.col("parsed.row").isNotNull())
-    got = got.select("path", "byte", source.alias("default_source"), F.col("parsed.format").alias("parse_format"), *(F.col(f"parsed.row.{n}").alias(n) for n in FIELDS))
+    got = parse_blocks(blocks, "text", year).where(F.col("row").isNotNull())
+    got = got.select("path", "byte", source.alias("default_source"), F.col("format").alias("parse_format"), *(F.col(f"row.{n}").alias(n) for n in FIELDS))
     if redacted:
         for name in ("message", "error_name", "error_message", "route"):
             got = got.withColumn(name, redact(F.col(name)))

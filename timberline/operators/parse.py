@@ -1,18 +1,16 @@
 """Format detection and parsing of log lines, as one projection.
 
 Each parser gives a struct of the common fields, or null where the line isn't of
-its format; ``parse_line`` picks by detected format and falls back to raw text.
+its format; ``parse_rows`` picks by detected format and falls back to raw text.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.functions import stack, text, time
-from timberline.schema import ALIASES
+from timberline.functions import text, time
+from timberline.operators.structured import structured
 
 _T = r"\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}[,.]\d{3}"
 _MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
@@ -83,81 +81,19 @@ def detect_sample(lines: Column) -> Column:
 
 
 # -------------------------------------------------------------- structured rows
-def _first(pairs: Column, names: list[str], fits) -> tuple[Column, Column]:
-    """Value of the first key that is there and fits, and that key."""
-    value, key = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for n in reversed(names):
-        entry = F.try_element_at(pairs, F.lit(n))
-        ok = entry.isNotNull() & fits(entry)
-        value, key = F.when(ok, entry["text"]).otherwise(value), F.when(ok, F.lit(n)).otherwise(key)
-    return value, key
-
-
-def from_pairs(pairs: Column, raw: Column) -> Column:
-    """``pairs``: map of key to struct<kind, text>; ``raw``: the same as JSON text
-    values for what no field takes."""
-    number = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-    is_text = lambda e: e["kind"].isin("string", "number")
-    is_number = lambda e: (e["kind"] == "number") | ((e["kind"] == "string") & e["text"].rlike(number))
-    took, got = [], {}
-    for name, keys in ALIASES.items():
-        fits = is_number if name in ("status_code", "duration_ms", "line_number") else is_text
-        got[name], key = _first(pairs, keys, fits)
-        took.append(key)
-        if name == "timestamp":
-            kind = F.try_element_at(pairs, key)["kind"]
-            got[name] = F.when(kind == "number", time.epoch_text(got[name])).otherwise(time.normalize(got[name]))
-    error = F.try_element_at(pairs, F.lit("error"))
-    inner = F.from_json(F.when(error["kind"] == "object", error["text"]), "map<string,string>")
-    error_name = F.try_element_at(inner, F.lit("name"))
-    error_message = F.when(error["kind"] == "string", error["text"]).otherwise(F.try_element_at(inner, F.lit("message")))
-    took.append(F.when(error["kind"].isin("object", "string"), F.lit("error")))
-    trace = F.coalesce(F.try_element_at(inner, F.lit("stack")), F.try_element_at(pairs, F.lit("stack"))["text"], F.when(F.instr(got["message"], "\n") > 0, got["message"]))
-    frame = F.try_element_at(stack.frames(trace), F.lit(1))
-    rest = F.map_filter(raw, lambda k, v: ~F.array_contains(F.array_compact(F.array(*took)), k))
-    body = F.array_join(F.transform(F.array_sort(F.map_keys(rest)), lambda k: F.concat(_quote(k), F.lit(":"), rest[k])), ",")
-    status = got["status_code"].cast("double").cast("long")
-    return record(
-        **{n: got[n] for n in ("timestamp", "level", "message", "source", "request_id", "user_id", "route", "method")},
-        status_code=F.when(status.between(0, 65535), status),
-        duration_ms=got["duration_ms"],
-        error_name=error_name, error_message=error_message,
-        source_file=F.coalesce(got["source_file"], frame["file"]),
-        line_number=F.coalesce(got["line_number"].cast("double").cast("long"), frame["line"]),
-        attributes=F.when(F.size(rest) > 0, F.concat(F.lit("{"), body, F.lit("}"))),
-    )
-
-
-def _quote(key: Column) -> Column:
-    return F.concat(F.lit('"'), F.regexp_replace(key, r'(["\\])', r"\\$1"), F.lit('"'))
+def _structured_row(got: Column) -> Column:
+    fields = {n: got[n] for n in FIELDS}
+    fields["timestamp"] = time.normalize(got["timestamp"])
+    return F.when(got["ok"], record(**fields))
 
 
 def parse_json(line: Column) -> Column:
     """A JSON object, by the alias lists."""
-    variants = F.try_parse_json(line).cast("map<string,variant>")
-    kind = F.schema_of_variant
-    pairs = F.transform_values(
-        variants,
-        lambda k, v: F.struct(
-            F.when(kind(v) == "STRING", "string").when(kind(v).startswith("OBJECT"), "object").when(kind(v).startswith("ARRAY"), "array")
-            .when(kind(v) == "BOOLEAN", "boolean").when(kind(v) == "VOID", "null").otherwise("number").alias("kind"),
-            v.cast("string").alias("text"),
-        ),
-    )
-    raw = F.transform_values(variants, lambda k, v: F.coalesce(F.to_json(v), F.lit("null")))
-    return F.when(line.startswith("{") & variants.isNotNull(), from_pairs(pairs, raw))
+    return _structured_row(structured(line, F.lit("json")))
 
 
 def parse_logfmt(line: Column) -> Column:
-    pairs = F.regexp_extract_all(line, F.lit(f"({LOGFMT_PAIR})"), F.lit(1))
-    value = lambda p: F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1)
-    plain = lambda v: F.when(v.startswith('"'), F.regexp_replace(F.regexp_replace(v, r'^"|(?<!\\)"$', ""), r"\\(.)", "$1")).otherwise(v)
-    entries = F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), plain(value(p)).alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
-    words = F.map_from_entries(last)
-    typed = F.transform_values(words, lambda k, v: F.struct(F.lit("string").alias("kind"), v.alias("text")))
-    raw = F.transform_values(words, lambda k, v: _quote(v))
-    return F.when(is_logfmt(line), from_pairs(typed, raw))
+    return _structured_row(structured(line, F.lit("logfmt")))
 
 
 # ------------------------------------------------------------------- text rows
@@ -240,29 +176,27 @@ def parse_raw(line: Column) -> Column:
     return F.when(clean.rlike(r"[\p{L}\p{N}]"), record(message=clean, level=text.sniff_level(clean)))
 
 
-def parse_line(line: Column, year: Column) -> Column:
-    """struct<format, row> of a line; row is null for lines without content."""
-    line = text.trim_all(line)
-    parsers = {
-        "json": parse_json(line), "logfmt": parse_logfmt(line), "apache-combined": parse_apache(line), "python-logging": parse_python(line),
-        "go-logrus": parse_logrus(line), "log4j": parse_log4j(line), "syslog": parse_syslog(line, year),
-    }
-    seen = detect(line)
-    row = reduce(lambda out, f: F.when(seen == f, parsers[f]).otherwise(out), parsers, F.lit(None).cast(_struct_type()))
-    return F.struct(F.when(row.isNotNull(), seen).otherwise("raw").alias("format"), F.coalesce(row, parse_raw(line)).alias("row"))
-
-
-def _struct_type() -> str:
-    return "struct<" + ",".join(f"{n}:{k}" for n, k in FIELDS.items()) + ">"
-
-
-def parse_block(block: Column, year: Column) -> Column:
-    """A coalesced event: if its first line is structured, the others are added to
-    the message; else the whole block is one raw row."""
+def parse_rows(df: DataFrame, column: str, year: Column) -> DataFrame:
+    """``df`` with ``format`` and ``row`` of the line in ``column``; row is null for
+    lines without content. Step by step, so that each step is computed once."""
+    parsers = {"apache-combined": parse_apache, "python-logging": parse_python, "go-logrus": parse_logrus, "log4j": parse_log4j, "syslog": lambda c: parse_syslog(c, year)}
+    line = F.col("_line")
+    out = df.withColumn("_line", text.trim_all(F.col(column))).withColumn("_seen", detect(line))
+    out = out.withColumn("_got", structured(F.when(F.col("_seen").isin("json", "logfmt"), line), F.col("_seen")))
+    row = F.when(F.col("_seen").isin("json", "logfmt"), _structured_row(F.col("_got")))
+    for name, parser in parsers.items():
+        row = row.when(F.col("_seen") == name, parser(line))
+    out = out.withColumn("_row", row).withColumn("format", F.when(F.col("_row").isNotNull(), F.col("_seen")).otherwise("raw"))
+    return out.withColumn("row", F.coalesce("_row", parse_raw(line))).drop("_line", "_seen", "_got", "_row")
+
+
+def parse_blocks(df: DataFrame, column: str, year: Column) -> DataFrame:
+    """Coalesced events: if the first line is structured, the others are added to
+    its message; else the whole block is one raw row."""
+    block = F.col(column)
     first = F.regexp_replace(F.substring_index(block, "\n", 1), r"\r$", "")
-    rest = text.strip_ansi(F.regexp_replace(F.substr(block, F.instr(block, "\n") + 1), r"(?U)\s+$", ""))
-    head = parse_line(first, year)
-    glued = head["row"].withField("message", F.concat(F.coalesce(head["row"]["message"], F.lit("")), F.lit("\n"), rest))
-    whole = F.struct(F.lit("raw").alias("format"), parse_raw(block).alias("row"))
-    many = F.when(head["format"] != "raw", F.struct(head["format"].alias("format"), glued.alias("row"))).otherwise(whole)
-    return F.when(F.instr(block, "\n") > 0, many).otherwise(head)
+    rest = text.strip_ansi(F.regexp_replace(F.substr(block, F.instr(block, F.lit("\n")) + 1), r"(?U)\s+$", ""))
+    out = parse_rows(df.withColumn("_first", first).withColumn("_many", F.instr(block, F.lit("\n")) > 0), "_first", year)
+    glued = F.col("row").withField("message", F.concat(F.coalesce(F.col("row.message"), F.lit("")), F.lit("\n"), rest))
+    many = F.when(F.col("format") != "raw", glued).otherwise(parse_raw(block))
+    return out.withColumn("row", F.when(F.col("_many"), many).otherwise(F.col("row"))).drop("_first", "_many")
