@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from timberline.functions import ids, time
 from timberline.functions.redact import redact, redact_json
 from timberline.operators.coalesce import coalesce_blocks
-from timberline.operators.parse import FIELDS, parse_blocks
+from timberline.operators.lines import parse_blocks
+from timberline.operators.structured import NAMES
 from timberline.schema import LOG_SCHEMA
 
 
@@ -19,12 +20,13 @@ def rows_from_blocks(blocks: DataFrame, now_ms: Column, source: Column, redacted
     position. Redaction comes before the identity; ids and codes aren't redacted.
     """
     year = F.year(F.timestamp_millis(now_ms))
-    got = parse_blocks(blocks, "text", year).where(F.col("row").isNotNull())
-    got = got.select("path", "byte", source.alias("default_source"), F.col("format").alias("parse_format"), *(F.col(f"row.{n}").alias(n) for n in FIELDS))
+    got = parse_blocks(blocks, "text", year).where("parsed.ok")
+    got = got.select("path", "byte", source.alias("default_source"), F.col("parsed.format").alias("parse_format"), *(F.col(f"parsed.{n}").alias(n) for n in NAMES))
     if redacted:
         for name in ("message", "error_name", "error_message", "route"):
             got = got.withColumn(name, redact(F.col(name)))
         got = got.withColumn("attributes", redact_json(F.col("attributes")))
+    got = got.withColumn("timestamp", time.normalize(F.col("timestamp")))
     own = F.when(F.col("timestamp") != "", F.col("timestamp"))
     position = F.concat("path", F.lit(":"), F.col("byte").cast("string"))
     got = got.withColumns({

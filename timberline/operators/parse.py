@@ -1,12 +1,12 @@
-"""Format detection and parsing of log lines, as one projection.
+"""Format detection and parsing of log lines, as projections.
 
 Each parser gives a struct of the common fields, or null where the line isn't of
-its format; ``parse_rows`` picks by detected format and falls back to raw text.
+its format. Ingest, which tries all formats on every line, uses ``lines.parse_blocks``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from timberline.functions import text, time
@@ -174,29 +174,3 @@ def parse_raw(line: Column) -> Column:
     """Text without colour codes; null where it has no letter or digit."""
     clean = text.trim_all(text.strip_ansi(line))
     return F.when(clean.rlike(r"[\p{L}\p{N}]"), record(message=clean, level=text.sniff_level(clean)))
-
-
-def parse_rows(df: DataFrame, column: str, year: Column) -> DataFrame:
-    """``df`` with ``format`` and ``row`` of the line in ``column``; row is null for
-    lines without content. Step by step, so that each step is computed once."""
-    parsers = {"apache-combined": parse_apache, "python-logging": parse_python, "go-logrus": parse_logrus, "log4j": parse_log4j, "syslog": lambda c: parse_syslog(c, year)}
-    line = F.col("_line")
-    out = df.withColumn("_line", text.trim_all(F.col(column))).withColumn("_seen", detect(line))
-    out = out.withColumn("_got", structured(F.when(F.col("_seen").isin("json", "logfmt"), line), F.col("_seen")))
-    row = F.when(F.col("_seen").isin("json", "logfmt"), _structured_row(F.col("_got")))
-    for name, parser in parsers.items():
-        row = row.when(F.col("_seen") == name, parser(line))
-    out = out.withColumn("_row", row).withColumn("format", F.when(F.col("_row").isNotNull(), F.col("_seen")).otherwise("raw"))
-    return out.withColumn("row", F.coalesce("_row", parse_raw(line))).drop("_line", "_seen", "_got", "_row")
-
-
-def parse_blocks(df: DataFrame, column: str, year: Column) -> DataFrame:
-    """Coalesced events: if the first line is structured, the others are added to
-    its message; else the whole block is one raw row."""
-    block = F.col(column)
-    first = F.regexp_replace(F.substring_index(block, "\n", 1), r"\r$", "")
-    rest = text.strip_ansi(F.regexp_replace(F.substr(block, F.instr(block, F.lit("\n")) + 1), r"(?U)\s+$", ""))
-    out = parse_rows(df.withColumn("_first", first).withColumn("_many", F.instr(block, F.lit("\n")) > 0), "_first", year)
-    glued = F.col("row").withField("message", F.concat(F.coalesce(F.col("row.message"), F.lit("")), F.lit("\n"), rest))
-    many = F.when(F.col("format") != "raw", glued).otherwise(parse_raw(block))
-    return out.withColumn("row", F.when(F.col("_many"), many).otherwise(F.col("row"))).drop("_first", "_many")
