@@ -124,7 +124,8 @@ def repeated_blocks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     window start + i is repeated. Bounded by the length of the document."""
     occurrences = scratch.save(block_table(docs), "blocks")
     seen = occurrences.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("x"), F.max("content").alias("y")).where("n > 1")
-    shared = seen.select(F.col("anchor").alias("k"), (F.col("x") != F.col("y")).alias("mixed"))
+    # Written first, so that AQE may split the partition of an anchor that is everywhere.
+    shared = scratch.save(seen.select(F.col("anchor").alias("k"), (F.col("x") != F.col("y")).alias("mixed")), "shared")
     found = scratch.save(occurrences.join(shared, F.col("anchor") == F.col("k")).drop("k"), "found")
     scratch.drop("blocks")
     whole = (1 << _REACH) - 1
