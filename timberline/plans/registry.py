@@ -115,7 +115,7 @@ _search("search_pagination", "source = 'svc-3'", limit=25, offset=50, source="SV
 _search("search_format", "parse_format = 'logfmt'", parse_format="logfmt")
 _search("search_fulltext_or", f"{_TOKENS} LIKE '% timeout %' OR {_TOKENS} LIKE '% refused %'", query="timeout refused")
 _search("search_fulltext_and_not", f"{_TOKENS} LIKE '% timeout %' AND {_TOKENS} LIKE '% internal %' AND NOT {_TOKENS} LIKE '% db 3 %'", query="timeout AND internal NOT db-3")
-_search("search_phrase", f"{_TOKENS} LIKE '% no such job %' AND {_TOKENS} LIKE '% worker 7 %'", query='+"no such job" +"worker 7"')
+_search("search_phrase", f"{_TOKENS} LIKE '% no such job %' AND {_TOKENS} LIKE '% worker 8 %'", query='+"no such job" +"worker 8"')
 _search("search_field_term", "level = 'warn' AND status_code BETWEEN 400 AND 499", query="level:warn AND status_code:[400 TO 499]")
 
 
