@@ -325,16 +325,17 @@ def trace_conversation(spark, sf_dir):
 def stream_tail_upsert(spark, sf_dir):
     """Write the events as a file of JSON lines, twice over, and stream it into a
     table: the second half replaces the first."""
-    import tempfile
+    import uuid
 
+    from timberline.sources.discover import shared_folder
     from timberline.streaming.table import LogTable
     from timberline.streaming.watch import watch
 
-    root = tempfile.mkdtemp(prefix="timberline-tail-")
+    root = f"{shared_folder(spark)}/tail-{uuid.uuid4().hex[:12]}"
     logs = event_logs(spark, sf_dir)
     names = ["timestamp", "level", "source", "message", "request_id", "user_id"]
     lines = logs.select(F.to_json(F.struct(*names)).alias("value"))
-    lines.unionByName(lines).coalesce(1).write.text(f"{root}/lines")
+    lines.unionByName(lines).write.text(f"{root}/lines")
     log = LogTable(spark, f"{root}/table")
     watch(spark, f"{root}/lines/*.txt", log, f"{root}/checkpoint", NOW_MS, once=True).awaitTermination()
     return log.read().groupBy("parse_format", "level").agg(F.count(F.lit(1)).alias("count"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 from pathlib import Path
+from urllib.parse import urlsplit
+
+from pyspark.sql import SparkSession
 
 #: What a log file looks like, and where taps keep their journals.
 SUFFIXES, JOURNALS = (".log", ".json", ".jsonl"), "streams"
@@ -30,3 +34,10 @@ def discover(project: str, base: str, configured: list[tuple[str, str]] = (), tr
         where = str(path.resolve())
         out.setdefault(where, Source(name, where))
     return sorted(out.values(), key=lambda s: s.path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A mounted folder that driver and executors share: that of
+    ``spark.checkpoint.dir``; a folder of this machine only where none is set."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return urlsplit(named).path.rstrip("/") if named else tempfile.mkdtemp(prefix="timberline-")

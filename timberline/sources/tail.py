@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import glob
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,6 +34,7 @@ class FileRange(InputPartition):
     start: int
     stop: int
     whole_line_first: bool  # the line that begins before ``start`` isn't ours
+    end: int | None = None  # bytes of the file that count; a line that grows on is cut here
 
 
 def paths_of(options: dict) -> list[str]:
@@ -62,11 +64,12 @@ def fresh(path: str, size: int, mtime_ms: int) -> bool:
 
 
 def ranges(path: str, start: int, stop: int, each: int = RANGE_BYTES) -> list[FileRange]:
-    return [FileRange(path, at, min(at + each, stop), at > start) for at in range(start, stop, each)]
+    return [FileRange(path, at, min(at + each, stop), at > start, stop) for at in range(start, stop, each)]
 
 
 def read_range(part: FileRange) -> Iterator[tuple[str, int, str]]:
-    """Lines that begin in the range; the last one may end beyond it."""
+    """Lines that begin in the range; the last one may end beyond it, but not beyond
+    the file's ``end``."""
     with open(part.path, "rb") as f:
         at = part.start
         if part.whole_line_first:
@@ -75,6 +78,8 @@ def read_range(part: FileRange) -> Iterator[tuple[str, int, str]]:
         else:
             f.seek(at)
         while at < part.stop and (line := f.readline()):
+            if part.end is not None:
+                line = line[: part.end - at]
             yield part.path, at, line.rstrip(b"\r\n").decode("utf-8", "replace")
             at += len(line)
 
@@ -99,6 +104,8 @@ class TailReader(DataSourceReader):
 
     def partitions(self):
         each = int(self.options.get("rangebytes", RANGE_BYTES))
+        if "spans" in self.options:  # {path: [start, end]}, as a sync plans them
+            return [r for p, (start, end) in json.loads(self.options["spans"]).items() for r in ranges(p, start, end, each)]
         return [r for p in paths_of(self.options) for r in ranges(p, int(self.options.get("start", 0)), os.path.getsize(p), each)]
 
     def read(self, partition):
@@ -130,9 +137,7 @@ class TailStreamReader(DataSourceStreamReader):
         return out
 
     def read(self, partition):
-        # A line that was still growing when its offset was taken ends at the stop.
-        for path, byte, line in read_range(partition):
-            yield path, byte, line.encode()[: partition.stop - byte].decode("utf-8", "replace")
+        return read_range(partition)
 
     def commit(self, end: dict) -> None:
         pass
