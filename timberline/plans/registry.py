@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from timberline.functions import mask, redact, stack, text, time
 from timberline.operators import coalesce, drain, ingest, learn, parse, upsert
-from timberline.plans import aggregate, search
+from timberline.plans import aggregate, alert, search
 from timberline.plans.adapters import NOW_MS, document_lines, event_lines, event_logs, logs_sql, table
 from timberline.plans.filters import LogQuery
+from timberline.streaming.watch import error_rate
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,6 +74,20 @@ def errors_affected_users(spark, sf_dir):
     return rows.groupBy("fingerprint").agg(F.countDistinct("user_id").alias("affected_users"))
 
 
+#: An instant within the events, for what looks at the last minutes.
+MIDWAY_MS = 1_705_752_000_000  # 2024-01-20T12:00:00Z
+
+
+@query("alert_recent", over(f"{_GROUPS} WHERE timestamp_ms >= {MIDWAY_MS} - 900000 GROUP BY fingerprint ORDER BY count DESC, last_seen DESC, strlen(arg_min(template, timestamp || log_id)) DESC, fingerprint LIMIT 3", more=_KEYED))
+def alert_recent(spark, sf_dir):
+    return _flat(alert.recent_groups(event_logs(spark, sf_dir), MIDWAY_MS))
+
+
+@query("error_rate_windows", over("SELECT CAST(timestamp_ms - timestamp_ms % 300000 AS BIGINT) AS start_ms, fingerprint, count(*) AS count FROM grouped GROUP BY 1, 2", more=_KEYED))
+def error_rate_windows(spark, sf_dir):
+    return error_rate(event_logs(spark, sf_dir)).select(F.unix_millis("window.start").alias("start_ms"), "fingerprint", "count")
+
+
 # -------------------------------------------------------------------- stats
 for _name, _column in {"level": "level", "route": "route", "user": "user_id", "format": "parse_format"}.items():
     _default = aggregate.NULL_NAMES[_column]
@@ -119,6 +134,16 @@ _search("search_phrase", f"{_TOKENS} LIKE '% no such job %' AND {_TOKENS} LIKE '
 _search("search_field_term", "level = 'warn' AND status_code BETWEEN 400 AND 499", query="level:warn AND status_code:[400 TO 499]")
 
 
+_search("search_nested", f"({_TOKENS} LIKE '% timeout %' OR {_TOKENS} LIKE '% refused %') AND level = 'error' AND NOT {_TOKENS} LIKE '% db 3 %'", query='(timeout OR refused) AND level:error -"db 3"')
+_search("search_nested_not", f"{_TOKENS} LIKE '% job %' OR ({_TOKENS} LIKE '% timeout %' AND NOT ({_TOKENS} LIKE '% db 1 %' OR {_TOKENS} LIKE '% db 2 %'))", limit=500, query="job OR (timeout NOT (db-1 OR db-2))")
+
+
+@query("page_time_range", over(f"SELECT min(timestamp) AS oldest, max(timestamp) AS newest FROM (SELECT timestamp FROM logs WHERE level = 'warn'{_NEWEST} 40 OFFSET 10)"))
+def page_time_range(spark, sf_dir):
+    page = search.search(event_logs(spark, sf_dir), ask(level="warn"), 40, 10)
+    return page.agg(F.min("timestamp").alias("oldest"), F.max("timestamp").alias("newest"))
+
+
 @query("search_relevance")
 def search_relevance(spark, sf_dir):
     return search.search(event_logs(spark, sf_dir), ask(query="timeout internal worker"), 50, by_relevance=True).select(*_PAGE, "score")
@@ -221,6 +246,12 @@ def timestamp_normalize(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", time.normalize(comma).alias("comma"), time.normalize(F.concat(day, F.lit("T"), clock, F.lit("+02:00"))).alias("zoned"), time.normalize(day).alias("kept"), time.parse_millis(comma).alias("ms"))
 
 
+@query("epoch_text", "SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S.000Z') AS seconds, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS millis FROM events")
+def epoch_text(spark, sf_dir):
+    ms = time.ntz_millis(F.col("ts"))
+    return table(spark, sf_dir, "events").select("event_id", time.epoch_text(F.floor(ms / 1000)).alias("seconds"), time.epoch_text(ms).alias("millis"))
+
+
 @query("log_id", over("SELECT ingest_seq, log_id FROM logs"))
 def log_id(spark, sf_dir):
     return event_logs(spark, sf_dir).select("ingest_seq", "log_id")
