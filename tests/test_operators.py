@@ -92,6 +92,21 @@ def test_context_on_ties(spark):
     assert sorted(r.side for r in got) == ["after", "after", "before"]
 
 
+def test_context_equals_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(f"{k:04d}", f"t{rng.randrange(12):02d}") for k in range(120)]
+    logs = spark.createDataFrame(rows, "log_id string, timestamp string")
+    chosen = rng.sample(rows, 15)
+    want = []
+    for target, at in chosen:
+        others = sorted((t, i) for i, t in rows if i != target)
+        sides = {"before": [x for x in others if x[0] <= at][::-1][:4], "after": [x for x in others if x[0] >= at][:4]}
+        want += [(target, side, k + 1, i, t) for side, near in sides.items() for k, (t, i) in enumerate(near)]
+    got = search.context(logs, spark.createDataFrame(chosen, "log_id string, timestamp string"), 4).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert search.context(logs, logs.limit(0), 4).count() == 0
+
+
 def corpus(n=400, seed=3):
     rng = random.Random(seed)
     shapes = ["GET <path> {} in <dur>", "Connection to {} failed", "job {} done {}", "{} {} {} {} {}", "x"]
