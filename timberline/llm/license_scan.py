@@ -182,3 +182,24 @@ _ARROW = pa.schema([
     ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("expressions", pa.list_(pa.string())),
     ("permissive", pa.bool_()), ("spans", pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))),
 ])
+
+
+_PHRASE_ROWS = ", ".join(f"('{p}', '{label}', {p in BASE_PHRASES})" for p, label in {**BASE_PHRASES, **NOTICE_PHRASES}.items())
+ORACLE_SQL = r"""
+WITH phrases(phrase, label, base) AS (VALUES @@),
+worded AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS said,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+split AS (SELECT string_split(phrase, ' ') AS parts, label, base FROM phrases),
+placed AS (SELECT row_id, words, unnest(range(1, len(words) + 1)) AS k FROM worded),
+found AS (SELECT row_id, k - 1 AS place, label, base FROM placed JOIN split ON words[k] = parts[1] AND words[k:k + len(parts) - 1] = parts),
+tags AS (SELECT row_id, unnest(regexp_extract_all(said, '(?i)spdx-license-identifier:[ \t]*([^\r\n*]*)', 1)) AS expression FROM worded
+  WHERE contains(' ' || array_to_string(words, ' ') || ' ', ' spdx license identifier ')),
+tokens AS (SELECT row_id, regexp_extract_all(lower(expression), '[^\s()]+') AS t FROM tags),
+named AS (SELECT row_id, rtrim(t[k], '+') AS label FROM (SELECT row_id, t, unnest(range(1, len(t) + 1)) AS k FROM tokens)
+  WHERE t[k] NOT IN ('or', 'and', 'with') AND (k = 1 OR t[k - 1] <> 'with')),
+labelled AS (SELECT row_id, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM (SELECT row_id, label FROM found UNION ALL SELECT row_id, label FROM named) GROUP BY row_id),
+based AS (SELECT row_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, array_to_string(list_sort(list(DISTINCT label)), ',') AS base_labels FROM found WHERE base GROUP BY row_id),
+weighed AS (SELECT row_id, sum(n) AS n FROM (SELECT row_id, 1 AS n FROM found UNION ALL SELECT row_id, 2 FROM tags) GROUP BY row_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, 1 - pow(0.5, coalesce(n, 0)) AS score
+FROM worded LEFT JOIN based USING (row_id) LEFT JOIN labelled USING (row_id) LEFT JOIN weighed USING (row_id)
+""".replace("@@", _PHRASE_ROWS)

@@ -62,4 +62,10 @@ QUERIES = {
         op6_lm_score, op7_warc_round_trip, op8_decontaminate, op9_bpe_codec, op10_minhash_dedup,
     )
 }
-ORACLE_SQL = {"op2_vp_search": vp_search.ORACLE_SQL, "op5_url_filter": url_filter.ORACLE_SQL}
+ORACLE_SQL = {
+    "op1_license_scan": license_scan.ORACLE_SQL,
+    "op2_vp_search": vp_search.ORACLE_SQL,
+    "op4_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op5_url_filter": url_filter.ORACLE_SQL,
+    "op7_warc_round_trip": warc_store.ORACLE_SQL,
+}

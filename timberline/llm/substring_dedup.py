@@ -227,3 +227,17 @@ def brute_force(texts: list[str | None]) -> list[tuple[int, int, str]]:
                 go[i : i + WINDOW] = True
         out.append((len(w), int(go.sum()), hashlib.sha256(b" ".join(x for x, g in zip(w, go) if not g)).hexdigest()))
     return out
+
+
+#: Of the digests of all documents.
+ORACLE_SQL = r"""
+WITH worded AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+numbered AS (SELECT row_number() OVER () AS row_id, * FROM worded),
+starts AS (SELECT row_id, unnest(range(1, len(words) - 33)) AS k0 FROM numbered WHERE len(words) >= 35),
+windows AS (SELECT row_id, k0, array_to_string(words[k0:k0 + 34], ' ') AS said FROM starts JOIN numbered USING (row_id)),
+repeated AS (SELECT row_id, k0 FROM (SELECT row_id, k0, count(*) OVER (PARTITION BY md5(said)) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT row_id, list(DISTINCT k) AS gone FROM (SELECT row_id, unnest(range(k0, k0 + 35)) AS k FROM repeated) GROUP BY row_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(coalesce(gone, [])) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_filter(words, lambda w, k: NOT list_contains(coalesce(gone, []), k)), ' ')) AS kept_sha256
+FROM numbered LEFT JOIN gone USING (row_id)
+"""

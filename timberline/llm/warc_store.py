@@ -276,3 +276,11 @@ def warc_round_trip(pages: DataFrame) -> DataFrame:
     tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), archives.count()))
     index = scratch.save(normalise(archives.repartition(tasks, "archive"), folder, remove=True), "index")
     return read_by_index(index, folder)
+
+
+ORACLE_SQL = """
+WITH sized AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+told AS (SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS payload_digest, max(page_id) OVER (PARTITION BY payload) AS kept FROM sized)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN kept END AS refers_to
+FROM told
+"""
