@@ -46,6 +46,38 @@ def test_block_byte_cap(spark):
     assert [len(r.text) for r in got] == [1 + 2 * 4002, 4001]
 
 
+def test_blocks_do_not_depend_on_stretches(spark):
+    rng = random.Random(8)
+    kinds = ["top", "  more", "  more", "", "Caused by: z", "   ", "  error: labelled", "\x1b[31m  red"]
+    files = {f"f{k}.log": [rng.choice(kinds) for _ in range(300)] for k in range(3)}
+    files |= {"long.log": ["  head", "top", *["  more"] * 400], "blank.log": ["", " ", ""], "above.log": ["  only"] * 150, "after.log": ["top", *[""] * 40, *["  lone"] * 90]}
+
+    def expected(lines):  # one line after another
+        out, at, size = [], 0, 0
+        fresh = True
+        for line in lines:
+            n, plain = len(line.encode()), line.replace("\x1b[31m", "")
+            if not line.strip():
+                fresh = True
+            elif not fresh and ((plain[0] == " " and "labelled" not in plain) or plain.startswith("Caused by")) and len(out[-1][1]) < 64 and size + n <= 8192:
+                out[-1][1].append(line)
+                size += 1 + n
+            else:
+                out.append((at, [line]))
+                size, fresh = n, False
+            at += n + 1
+        return [(at, "\n".join(said)) for at, said in out]
+
+    every = None
+    for path, lines in files.items():
+        rows = lines_of(spark, lines, path)
+        every = rows if every is None else every.unionByName(rows)
+    every = spark.createDataFrame(every.collect(), every.schema)
+    want = sorted((p, *x) for p, lines in files.items() for x in expected(lines))
+    for stretch in (1, 40, 333, 1 << 24):
+        assert sorted(map(tuple, coalesce_blocks(every, stretch).collect())) == want, stretch
+
+
 def test_formats_and_levels(spark):
     lines = [entry(0, msg="a", userId=7, statusCode="503", odd={"b": 1}), 'time=2024-01-30T00:00:01Z level=warn msg="b c" service=s', "plain text failed", "2024/03/25 10:00:00 WARNING a.go:3: m"]
     rows = {r.parse_format: r for r in ingested(spark, lines).collect()}

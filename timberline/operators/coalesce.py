@@ -9,6 +9,8 @@ from timberline.functions.text import strip_ansi, trim_all
 
 #: An event holds at most so many lines and bytes.
 MAX_LINES, MAX_BYTES = 64, 8192
+#: Lines are dealt to tasks by path and stretch of so many bytes.
+STRETCH_BYTES = 16 << 20
 DIAGNOSTIC = r"(?i)^(error|warning|info|hint)\s*[•:\-]"
 
 
@@ -19,19 +21,42 @@ def is_continuation(line: Column) -> Column:
     return indented | seen.startswith("Caused by")
 
 
-def coalesce_blocks(lines: DataFrame) -> DataFrame:
+def _runs(lines: DataFrame, stretch_bytes: int) -> DataFrame:
+    """path, run, rows: the lines between two breaks, in order; none may be left.
+
+    A blank line, or one that continues nothing, is a break: what follows doesn't
+    depend on what stands above it. So each stretch of a file is cut by itself. The
+    lines above its first break join the last run of the stretches before it, which
+    one row per stretch tells; only those few lines move again.
+    """
+    stretch = F.floor(F.col("byte") / stretch_bytes)
+    marked = lines.select("path", "byte", "line", stretch.alias("stretch"), (trim_all(F.col("line")) == "").alias("blank"))
+    marked = marked.withColumn("cut", F.when(F.col("blank") | ~is_continuation(F.col("line")), F.col("byte")))
+    placed = marked.withColumn("run", F.max("cut").over(Window.partitionBy("path", "stretch").orderBy("byte")))
+    row = F.struct("byte", F.octet_length("line").alias("size"), "line")
+    rows = F.array_sort(F.collect_list(F.when(~F.col("blank"), row))).alias("rows")
+    own = placed.where("run is not null").groupBy("path", "stretch", "run").agg(rows)
+
+    # Lines above all breaks of their file are a run of their own, numbered -1.
+    last = marked.groupBy("path", "stretch").agg(F.max("cut").alias("last"))
+    before = Window.partitionBy("path").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    homes = last.select("path", "stretch", F.coalesce(F.max("last").over(before), F.lit(-1)).alias("home"))
+    above = placed.where("run is null").join(homes, ["path", "stretch"]).groupBy("path", "home").agg(rows)
+    alone = above.where("home < 0").select("path", F.col("home").alias("run"), "rows")
+    more = above.where("home >= 0").select(F.col("path").alias("p"), F.floor(F.col("home") / stretch_bytes).alias("s"), "home", F.col("rows").alias("more"))
+    met = own.join(more, (F.col("path") == F.col("p")) & (F.col("stretch") == F.col("s")), "left")
+    joined = F.when(F.col("run") == F.col("home"), F.concat("rows", "more")).otherwise(F.col("rows"))
+    return met.select("path", "run", joined.alias("rows")).unionByName(alone)
+
+
+def coalesce_blocks(lines: DataFrame, stretch_bytes: int = STRETCH_BYTES) -> DataFrame:
     """``lines``: path, byte, line. Returns path, byte (of the first line), text.
 
-    Blank lines end an event and are dropped. Runs of lines between anchors are
-    cut greedily at the caps by a fold over each run. Files are independent, so
-    the work spreads over paths.
+    Blank lines end an event and are dropped. Runs of lines between breaks are
+    cut greedily at the caps by a fold over each run. The work spreads over the
+    stretches of each file, so one file may hold most of the lines.
     """
-    order = Window.partitionBy("path").orderBy("byte")
-    marked = lines.withColumn("blank", trim_all(F.col("line")) == "")
-    marked = marked.withColumn("after_blank", F.coalesce(F.lag("blank").over(order), F.lit(True)))
-    starts = F.when(F.col("blank"), 0).otherwise((F.col("after_blank") | ~is_continuation(F.col("line"))).cast("int"))
-    runs = marked.withColumn("run", F.sum(starts).over(order)).where(~F.col("blank"))
-    gathered = runs.groupBy("path", "run").agg(F.array_sort(F.collect_list(F.struct("byte", F.octet_length("line").alias("size"), "line"))).alias("rows"))
+    gathered = _runs(lines, stretch_bytes).where(F.size("rows") > 0)
     one = lambda x: F.struct(x["byte"].alias("byte"), x["line"].alias("text"), F.lit(1).alias("n"), x["size"].alias("size"))
     kind = "array<struct<byte:bigint,text:string,n:int,size:int>>"
 
