@@ -57,3 +57,13 @@ def test_stack_frames(spark):
     trace = 'E\n  at f (src/a.ts:47:3)\n  File "/x.py", line 9, in g\n  at src/m.rs:1:2'
     got = apply(spark, stack.frames, [trace])[0]
     assert [(f.function, f.file, f.line) for f in got] == [("f", "src/a.ts", 47), ("g", "/x.py", 9), (None, "src/m.rs", 1)]
+
+
+def test_redaction_equals_the_whole_chain(spark):
+    words = ["toKen=abc1", "paſs: x", "basİc abcd", "sesſion=" + "a" * 32, "API-KEY q", "me@x.io", "AKIA" + "B" * 16, "4111 1111 1111 1111", "123-45-6789", "plain", ""]
+    texts = [f"{a} und {b}" for a in words for b in words]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    chain = F.col("t")
+    for pattern, to in redact.STEPS:
+        chain = F.regexp_replace(chain, F.lit(mask.unicode(pattern)), F.lit(to))
+    assert rows.where(~redact.redact(F.col("t")).eqNullSafe(chain)).count() == 0
