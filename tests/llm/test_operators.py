@@ -261,6 +261,19 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, odd):
     assert kept.where("doc_id in (6, 7)").count() == 1 and minhash_dedup.near_duplicates(none(spark)).count() == 0
 
 
+def test_unlike_texts_stay_under_no_id_and_under_one_id(spark):
+    rng = random.Random(13)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    rows = [(None, a), (None, a + " tail"), (None, b), (7, c), (7, d), (7, d), (8, e), (None, e)]
+    df = spark.createDataFrame(rows, DOCS)
+    kept = sorted(((r.doc_id or 0, r.text) for r in minhash_dedup.keep_one_each(df).collect()))
+    assert len(kept) == 5 and (0, b) in kept and {(7, c), (7, d), (8, e)} < set(kept) and ((0, a) in kept) != ((0, a + " tail") in kept)
+    labels = defaultdict(set)
+    for r in minhash_dedup.near_duplicates(df).collect():
+        labels[r.label].add((r.class_id, r.node))
+    assert sorted((len(x), *{i or 0 for i, _ in x}) for x in labels.values()) == [(1, 0), (1, 7), (1, 7), (1, 8), (2, 0)]
+
+
 def test_alignment_is_sensitive_to_order():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 60, 400, dtype=np.uint64)

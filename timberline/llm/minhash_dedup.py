@@ -29,7 +29,9 @@ Defined cases: a null text is an empty one; texts without words are a class only
 with their equals; a text with one to four words has its
 whole word sequence as its only k-mer; a row with a null id is judged as any
 other, and the class_id is null only where all ids of the class are; repeated rows are copies; very long texts are
-aligned within the band; an empty table gives an empty result.
+aligned within the band; an empty table gives an empty result. A class is known by
+its label, the smallest digest of its texts: unlike texts that carry one id, or
+none, are of different labels though their class_id is the same.
 """
 
 from __future__ import annotations
@@ -348,7 +350,8 @@ def _links(some: _Block, all_of: _Block, usual: bytes) -> Iterator[tuple[bytes,
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (the smallest id of its
-    class), n_words and node, the digest of its text."""
+    class, for display: classes may share it), n_words, node, the digest of its
+    text, and label, which no two classes share."""
     scratch = Scratch(docs.sparkSession, "near")
     table = scratch.save(sketch_table(docs), "sketches")
     texts = table.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("m").alias("m"), F.first("s").alias("s"))
@@ -357,8 +360,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = connected_components(edges, scratch, "last")
     classes = texts.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = classes.groupBy("label").agg(F.min("rep").alias("class_id"))
-    classes = scratch.save(classes.join(least, "label").select("node", "class_id"), "classes")
-    return table.join(classes, "node").select("doc_id", "class_id", F.col("n").alias("n_words"), "node")
+    classes = scratch.save(classes.join(least, "label").select("node", "class_id", "label"), "classes")
+    return table.join(classes, "node").select("doc_id", "class_id", F.col("n").alias("n_words"), "node", "label")
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
@@ -373,9 +376,9 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     classes = scratch.save(near_duplicates(docs), "classes")
     # One row per (id, text), then the best of its class: a third of all rows may
     # be of one class, so both are aggregations and not sorts of a group.
-    own = classes.groupBy("doc_id", "node", "class_id").agg(F.count(F.lit(1)).alias("rows"))
+    own = classes.groupBy("doc_id", "node", "label").agg(F.count(F.lit(1)).alias("rows"))
     first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "node")
-    best = own.groupBy("class_id").agg(F.min(first).alias("x"))
+    best = own.groupBy("label").agg(F.min(first).alias("x"))
     stay = scratch.save(best.select(F.col("x.doc_id").alias("sid"), F.col("x.node").alias("snode")), "stay")
     kept = keyed.join(stay.hint("shuffle_hash"), keyed["doc_id"].cast("long").eqNullSafe(stay["sid"]) & (keyed["_node"] == stay["snode"]), "left_semi")
     repeated = own.where("rows > 1").select(F.col("doc_id").alias("sid"), F.col("node").alias("snode"))

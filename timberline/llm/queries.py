@@ -52,7 +52,7 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", "n_words")
+    return found.select("doc_id", "class_id", "n_words", F.lower(F.hex("label")).alias("class_label"))
 
 
 QUERIES = {
