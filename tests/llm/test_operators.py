@@ -207,6 +207,16 @@ def test_benchmark_items_are_found_with_edits(spark, odd):
     assert decontaminate.contaminations(odd, bench.limit(0)).count() == 0 and decontaminate.contaminations(none(spark), bench).count() == 0
 
 
+def item_words(texts):
+    return split_words(pa.array(texts, pa.string()), lower=True, breaks=decontaminate.WORD_BREAKS)
+
+
+def test_texts_shorter_than_a_seed_hold_no_item():
+    items = decontaminate.prepare([1, 2], [prose(random.Random(14), n) for n in (15, 40)])
+    for texts in (["word"], ["two words"], ["one", None, ""], [None]):
+        assert decontaminate.find(item_words(texts), items) == []
+
+
 # ------------------------------------------------------------------------ BPE
 def test_bpe_equals_the_tokenizer(spark, odd):
     rng = random.Random(10)

@@ -206,6 +206,8 @@ def find(words: Words, items: Items) -> list[tuple[int, int, int, int, int]]:
         rows.append(row_of[place])
         owners.append(item[k])
         starts.append(place - offset[k])
+    if not rows:  # fewer words than any item's seed
+        return []
     row, item, start = np.concatenate(rows), np.concatenate(owners), np.concatenate(starts)
     if not len(row):
         return []
