@@ -217,6 +217,31 @@ def test_texts_shorter_than_a_seed_hold_no_item():
         assert decontaminate.find(item_words(texts), items) == []
 
 
+def recall_of_edited_copies(items, sizes, per_size=40):
+    """Found shares by size, of copies with substitutions, insertions and deletions at the threshold."""
+    rng, out = random.Random(15), {}
+    for n in sizes:
+        mine = [i for i, t in enumerate(items) if len(t.split()) == n][:per_size]
+        texts = []
+        for i in mine:
+            w = items[i].split()
+            for k in sorted(rng.sample(range(n), decontaminate.edits_allowed(n)), reverse=True):
+                w[k : k + 1] = rng.choice([["edited"], [], [w[k], "inserted"]])
+            texts.append(prose(rng, 30) + " " + " ".join(w) + " " + prose(rng, 30))
+        made = decontaminate.prepare(list(range(len(items))), items)
+        got = {(r, int(made.ids[i])) for r, i, *_ in decontaminate.find(item_words(texts), made)}
+        out[n] = sum((r, i) in got for r, i in enumerate(mine)) / len(mine)
+    return out
+
+
+def test_short_items_hide_no_misses_of_long_ones(monkeypatch):
+    rng = random.Random(16)
+    items = [prose(rng, 3) for _ in range(2100)] + [prose(rng, n) for n in (20, 55) for _ in range(40)]
+    assert min(recall_of_edited_copies(items, (20, 55)).values()) >= 0.95
+    monkeypatch.setattr(decontaminate, "MAX_REPEATS", 1)  # too few: windows are verified without keys
+    assert min(recall_of_edited_copies(items, (20, 55)).values()) == 1.0
+
+
 # ------------------------------------------------------------------------ BPE
 def test_bpe_equals_the_tokenizer(spark, odd):
     rng = random.Random(10)

@@ -7,9 +7,11 @@ that depends on j and the word. Texts at a small edit distance give embeddings a
 a small Hamming distance, since walks that part soon meet again. Bit-sampling
 LSH takes a few steps of the walk as the key; a window is a candidate of an item
 if any of several repetitions, each with its own walk, has equal keys. How many
-repetitions the target recall needs is measured on the items themselves with
-random edits at the threshold. Candidates are verified by the exact edit
-distance of the item to any part of the window's surroundings.
+repetitions the target recall needs is measured for each class of item sizes, over
+all its items, with random edits at the threshold in foreign text. Where
+``MAX_REPEATS`` are too few for a class, no key is asked and all windows of its
+items are verified. Candidates are verified by the exact edit distance of the item
+to any part of the window's surroundings.
 
 Windows are placed where they can matter: a window within the threshold holds a
 run of at least ``(n - e) / (e + 1)`` unchanged words, so one of the item's short
@@ -44,6 +46,9 @@ THRESHOLD = 0.8
 RECALL = 0.99
 SAMPLES = 2  # steps of the walk in a key
 MAX_REPEATS = 64
+CLASS_STEP = 1.25  # sizes of a class differ by less than this factor
+TRIALS = 1000  # edited copies of a class at least
+TRIAL_WINDOWS = 8  # of a copy, those with the most runs; fewer never overstate the recall
 BLOCK_BYTES = 16 << 20
 SEED_WORDS = 3
 
@@ -89,9 +94,9 @@ class Items:
     words: np.ndarray
     first: np.ndarray  # item i is words[first[i]:first[i + 1]]
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # by length: hash, item, offset
-    repeats: int = 0
-    steps: np.ndarray | None = None  # repeats x items x SAMPLES
-    keys: np.ndarray | None = None  # repeats x items
+    repeats: np.ndarray | None = None  # of each item; 0: all its windows are verified
+    steps: np.ndarray | None = None  # most repeats x items x SAMPLES
+    keys: np.ndarray | None = None  # most repeats x items
 
     @property
     def size(self) -> np.ndarray:
@@ -118,45 +123,80 @@ def prepare(ids: list[int], item_texts: list[str | None], recall: float = RECALL
             order = np.argsort(h, kind="stable")
             items.seeds[q] = h[order], owner[order], offset[order]
     steps = _steps(size, MAX_REPEATS)
-    items.repeats = _repeats_needed(items, steps, recall)
-    items.steps = steps[: items.repeats]
-    items.keys = np.stack([embed(hashed, items.first[:-1].copy(), items.first[1:], r, items.steps[r]) for r in range(items.repeats)])
+    items.repeats = np.zeros(len(size), np.int64)
+    keys = np.zeros((MAX_REPEATS, len(size)), U)
+    kind = np.where(size < 5, 0, np.log(size) // math.log(CLASS_STEP) + 1)
+    for c in np.unique(kind):
+        mine = np.flatnonzero(kind == c)
+        items.repeats[mine] = _repeats_needed(items, mine, steps, keys, recall)
+    most = int(items.repeats.max())
+    items.steps, items.keys = steps[:most].copy(), keys[:most].copy()
     return items
 
 
 def _steps(size: np.ndarray, repeats: int) -> np.ndarray:
     """Sampled steps: uniform over the part of the walk that stays in the text."""
     rng = np.random.Generator(np.random.PCG64(11))
-    return np.sort((rng.random((repeats, len(size), SAMPLES)) * (2 * size)[None, :, None]).astype(np.int64), axis=2)
+    return np.sort((rng.random((repeats, len(size), SAMPLES)) * (2 * size)[None, :, None]).astype(np.int32), axis=2)
 
 
-def _repeats_needed(items: Items, steps: np.ndarray, recall: float) -> int:
-    """From the share of repetitions in which an item, edited at random up to the
-    threshold, keeps its key."""
+def _edited_copies(items: Items, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Copies of the items ``which`` with as many random edits as are allowed, between
+    foreign words: their text, and the windows that their unchanged runs start, as
+    copy, first word and end."""
     rng = np.random.Generator(np.random.PCG64(5))
-    some = np.arange(len(items.ids))[: 2000]
-    misses = []
-    edited, at = [], [0]
-    for i in some:
-        w = items.words[items.first[i] : items.first[i + 1]].copy()
-        spots = rng.choice(len(w), edits_allowed(len(w)), replace=False)
-        kind = rng.integers(0, 3, len(spots))
-        w[spots[kind == 0]] ^= U(0x9E3779B97F4A7C15)
-        out = np.delete(w, spots[kind == 1])
-        out = np.insert(out, np.minimum(spots[kind == 2], len(out)), _PAD)
-        edited.append(out)
-        at.append(at[-1] + len(out))
-    text, at = np.concatenate(edited), np.array(at)
-    agree = np.zeros((MAX_REPEATS, len(some)), bool)
+    parts, at = [], [0]
+    for n in items.size[which].tolist():
+        e = edits_allowed(n)
+        spots = rng.choice(n, e, replace=False)
+        kind = rng.integers(0, 3, e)
+        origin = np.arange(n)
+        origin[spots[kind == 0]] = -n
+        out = np.delete(origin, spots[kind == 1])
+        out = np.insert(out, np.minimum(spots[kind == 2], len(out)), -n)
+        around = np.full(2 * e, -n)
+        parts += [around, out, around]
+        at.append(at[-1] + len(out) + 4 * e)
+    origin, at = np.concatenate(parts), np.array(at)
+    row = np.repeat(np.arange(len(which)), np.diff(at))
+    foreign = rng.integers(0, 1 << 63, len(origin), dtype=np.uint64)
+    text = np.where(origin >= 0, items.words[items.first[which][row] + np.maximum(origin, 0)], foreign)
+    seed = np.array([seed_length(n) for n in items.size[which].tolist()])[row]
+    run = origin >= 0
+    for j in range(1, SEED_WORDS):
+        later = np.minimum(np.arange(len(origin)) + j, len(origin) - 1)
+        run &= (seed <= j) | ((origin[later] == origin + j) & (row[later] == row))
+    place = np.flatnonzero(run)
+    start, first, number = np.unique(place - origin[place], return_index=True, return_counts=True)
+    copy = row[place[first]]
+    order = np.lexsort((-number, copy))
+    begin = np.searchsorted(copy[order], copy[order], "left")
+    kept = np.sort(order[np.arange(len(order)) - begin < TRIAL_WINDOWS])
+    copy, start = copy[kept], start[kept]
+    return text, copy, start, np.minimum(start + items.size[which][copy], at[1:][copy])
+
+
+def _repeats_needed(items: Items, mine: np.ndarray, steps: np.ndarray, keys: np.ndarray, recall: float) -> int:
+    """The repetitions after which edited copies of the items ``mine``, each taken once
+    at least, have an equal key with the target recall, two standard errors included;
+    0 where ``MAX_REPEATS`` are too few. Fills in the keys of these items."""
+    nth = np.resize(np.arange(len(mine)), max(TRIALS, len(mine)))
+    text, copy, start, stop = _edited_copies(items, mine[nth])
+    missed = np.ones(len(nth), bool)
     for r in range(MAX_REPEATS):
-        theirs = embed(text, at[:-1].copy(), at[1:], r, steps[r][some])
-        mine = embed(items.words, items.first[:-1][some].copy(), items.first[1:][some], r, steps[r][some])
-        agree[r] = theirs == mine
-    for r in range(1, MAX_REPEATS + 1):
-        misses = 1 - agree[:r].any(0).mean()
-        if misses <= 1 - recall:
-            return r
-    return MAX_REPEATS
+        keys[r, mine] = embed(items.words, items.first[:-1][mine].copy(), items.first[1:][mine], r, steps[r][mine])
+        item = mine[nth[copy]]
+        equal = embed(text, start.copy(), stop, r, steps[r][item]) == keys[r, item]
+        missed[copy[equal]] = False
+        share = missed.mean()
+        if share + 2 * math.sqrt(share * (1 - share) / len(nth)) <= 1 - recall:
+            return r + 1
+        # Misses fall ever more slowly, so a class behind an even pace never gets there.
+        if r >= 7 and share > (1 - recall) ** ((r + 1) / MAX_REPEATS):
+            return 0
+        live = missed[copy]
+        copy, start, stop = copy[live], start[live], stop[live]
+    return 0
 
 
 def distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int]:
@@ -218,15 +258,14 @@ def find(words: Words, items: Items) -> list[tuple[int, int, int, int, int]]:
     row, item, start = row[new], item[new], start[new]
     left, right = words.first[:-1][row], words.first[1:][row]
     begin, stop = np.maximum(start, left), np.minimum(start + items.size[item], right)
+    chosen = [np.flatnonzero(items.repeats[item] == 0)]
     waiting = np.arange(len(row))
-    chosen = []
-    for r in range(items.repeats):
+    for r in range(len(items.keys)):
+        waiting = waiting[items.repeats[item[waiting]] > r]
         key = embed(hashed, begin[waiting].copy(), stop[waiting], r, items.steps[r][item[waiting]])
         hit = key == items.keys[r][item[waiting]]
         chosen.append(waiting[hit])
         waiting = waiting[~hit]
-        if not len(waiting):
-            break
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for c in np.sort(np.concatenate(chosen)).tolist():
         i, r = int(item[c]), int(row[c])
