@@ -229,7 +229,7 @@ def recall_of_edited_copies(items, sizes, per_size=40):
                 w[k : k + 1] = rng.choice([["edited"], [], [w[k], "inserted"]])
             texts.append(prose(rng, 30) + " " + " ".join(w) + " " + prose(rng, 30))
         made = decontaminate.prepare(list(range(len(items))), items)
-        got = {(r, int(made.ids[i])) for r, i, *_ in decontaminate.find(item_words(texts), made)}
+        got = {(r, made.ids[i].as_py()) for r, i, *_ in decontaminate.find(item_words(texts), made)}
         out[n] = sum((r, i) in got for r, i in enumerate(mine)) / len(mine)
     return out
 
@@ -242,6 +242,15 @@ def test_short_items_hide_no_misses_of_long_ones(monkeypatch):
     assert min(recall_of_edited_copies(items, (20, 55)).values()) == 1.0
 
 
+def test_items_without_an_id_are_found(spark):
+    rng = random.Random(17)
+    item, other = prose(rng, 20), prose(rng, 25)
+    df = docs(spark, [f"a {item} b", other, prose(rng, 50)])
+    bench = spark.createDataFrame([(None, item), (None, None), (None, "?!"), (3, other)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminations(df, bench).collect()} == {(0, None), (1, 3)}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()] == [2]
+
+
 # ------------------------------------------------------------------------ BPE
 def test_bpe_equals_the_tokenizer(spark, odd):
     rng = random.Random(10)

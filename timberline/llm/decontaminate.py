@@ -24,7 +24,8 @@ executors; a larger benchmark is scanned block by block. Documents are a narrow
 map, without a shuffle.
 
 Defined cases: null and empty texts hold nothing; null or empty items (without
-words) are never found; items of under five words match exactly only; equal
+words) are never found; an item with a null id is sought as any other and reported
+with a null item_id; items of under five words match exactly only; equal
 items are all reported; repeated rows are judged one by one; an empty table on
 either side gives an empty result; further columns stay as they are.
 """
@@ -90,7 +91,7 @@ def embed(words: np.ndarray, start: np.ndarray, stop: np.ndarray, repeat: int, s
 class Items:
     """A block of benchmark items, ready for matching."""
 
-    ids: np.ndarray
+    ids: pa.Array  # of 64-bit integers; may hold nulls
     words: np.ndarray
     first: np.ndarray  # item i is words[first[i]:first[i + 1]]
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # by length: hash, item, offset
@@ -103,11 +104,11 @@ class Items:
         return np.diff(self.first)
 
 
-def prepare(ids: list[int], item_texts: list[str | None], recall: float = RECALL) -> Items:
+def prepare(ids: list[int | None], item_texts: list[str | None], recall: float = RECALL) -> Items:
     words = split_words(pa.array(item_texts, pa.string()), lower=True, breaks=WORD_BREAKS)
     full = np.flatnonzero(words.counts)
     hashed, first = words.hashes(), words.first
-    items = Items(np.array(ids, np.int64)[full], hashed, np.concatenate([first[full], first[-1:]]) if len(full) else np.zeros(1, int))
+    items = Items(pa.array(ids, pa.int64()).take(pa.array(full)), hashed, np.concatenate([first[full], first[-1:]]) if len(full) else np.zeros(1, int))
     if not len(full):
         return items
     size, begin = words.counts[full], first[full]
@@ -285,12 +286,12 @@ def find(words: Words, items: Items) -> list[tuple[int, int, int, int, int]]:
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Items]:
     """The items in blocks of about ``block_bytes``: that much is held by the
     driver and each task at a time, however large the benchmark is."""
-    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("item_id is not null and text is not null")
+    items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     number = max(1, math.ceil(total / block_bytes))
     for k in range(number):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(number)) == k)
-        rows = sorted(part.collect())
+        rows = sorted(part.collect(), key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
         yield prepare([r["item_id"] for r in rows], [r["text"] for r in rows])
 
 
@@ -312,7 +313,7 @@ def _finder(items: Items):
             found = find(split_words(batch.column(1), lower=True, breaks=WORD_BREAKS), items)
             row, item, at, size, edits = (np.array(c, np.int64) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array(items.ids[item]), pa.array(at), pa.array(size), pa.array(edits), pa.array(1 - edits / np.maximum(items.size[item], 1) if len(item) else np.zeros(0))],
+                [batch.column(0).take(pa.array(row)), items.ids.take(pa.array(item)), pa.array(at), pa.array(size), pa.array(edits), pa.array(1 - edits / np.maximum(items.size[item], 1) if len(item) else np.zeros(0))],
                 names=["doc_id", "item_id", "first_word", "n_words", "edits", "similarity"],
             )
 
