@@ -76,6 +76,21 @@ def test_nearest(spark, monkeypatch, factor, least):
     assert vp_search.vp_search(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rows_by,query_by", [(1.0, 1e-12), (1e-7, 1e-7), (1e5, 1e5), (1.0, 1e9)])
+def test_nearest_is_exact_at_any_scale(rows_by, query_by):
+    rng = np.random.default_rng(18)
+    x = rng.normal(size=(1500, 16)) * rows_by
+    x[rng.permutation(1500)[:300]] = x[3]  # copies, more than k
+    ids = rng.permutation(1500)
+    asked = np.concatenate([rng.normal(size=(20, 16)) * query_by, x[3:4] / rows_by * query_by])
+    got = vp_search.VPTree(x, ids, float((x**2).sum(1).max()) ** 0.5).search(asked, np.arange(-21, 0), 20, 1.0)
+    for i, q in enumerate(asked):
+        score = vp_search.inner(x, q)
+        want = np.lexsort((ids, -score))[:20]
+        mine = got[0] == i - 21
+        assert got[1][mine].tolist() == ids[want].tolist() and got[2][mine].tolist() == score[want].tolist()
+
+
 # ------------------------------------------------------------------- quality
 def test_quality_held_out_accuracy(spark, odd):
     rng = random.Random(6)

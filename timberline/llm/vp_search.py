@@ -87,15 +87,14 @@ class VPTree:
         self.product = [np.zeros(0)] * n
         self.least = np.full(n, -np.inf)  # the k-th largest product so far
         self.tau = np.full(n, np.inf)  # as a distance
+        self.slack = 1e-6 * (self.norm + np.sqrt(self.q_norm))  # of distances, above their rounding
         self._visit(self.root, np.arange(n), factor)
         out = ([], [], [])
         for i in range(n):
             at = self.best[i]
-            score = inner(self.vectors[at], queries[i])
-            order = np.lexsort((self.ids[at], -score))[:k]
-            out[0].append(np.full(len(order), query_ids[i]))
-            out[1].append(self.ids[at[order]])
-            out[2].append(score[order])
+            out[0].append(np.full(len(at), query_ids[i]))
+            out[1].append(self.ids[at])
+            out[2].append(self.product[i])
         return tuple(np.concatenate(x) if x else np.zeros(0) for x in out)
 
     def _visit(self, node: Node, active: np.ndarray, factor: float) -> None:
@@ -110,28 +109,32 @@ class VPTree:
             some, far = active[first == inside_first], d[first == inside_first]
             for inner_branch in (inside_first, not inside_first):
                 least = far - node.radius if inner_branch else np.maximum(node.near - far, far - node.far)
-                keep = least * factor <= self.tau[some] + 1e-6 * self.norm
+                keep = least * factor <= self.tau[some] + self.slack[some]
                 self._visit(node.inside if inner_branch else node.outside, some[keep], factor)
 
     def _leaf(self, at: np.ndarray, active: np.ndarray) -> None:
-        products = self.q[active, :-1] @ self.vectors[at].T
+        rows, asked = self.vectors[at], self.q[active, :-1]
+        # A fast product, wrong by no more than its rounding, tells what can be among
+        # the best; the score of that is summed as inner() does, so ties are exact.
+        rounding = 4 * rows.shape[1] * np.finfo(float).eps * np.sqrt(self.q_norm[active]) * self.norm
+        which, column = np.nonzero(asked @ rows.T >= (self.least[active] - rounding)[:, None])
+        if not len(which):
+            return
+        product_of = np.zeros(len(which))
+        for j in range(rows.shape[1]):
+            product_of += asked[which, j] * rows[column, j]
+        products = np.full((len(active), len(at)), -np.inf)
+        products[which, column] = product_of
         ids = self.ids[at]
         for row, i in enumerate(active):
-            slack = 1e-9 * (1 + abs(self.least[i])) if np.isfinite(self.least[i]) else 0.0
-            hit = (products[row] >= self.least[i] - slack) & (ids != self.qid[i])
+            hit = (products[row] >= self.least[i]) & (products[row] > -np.inf) & (ids != self.qid[i])
             if not hit.any():
                 continue
             best, product = np.concatenate([self.best[i], at[hit]]), np.concatenate([self.product[i], products[row][hit]])
-            if len(best) > self.k:
-                # copies stay in the order of their ids; near ties wait for the exact score
-                rounded = np.round(product, 10)
-                order = np.lexsort((self.ids[best], -rounded))
-                rest = order[self.k :]
-                rest = rest[rounded[rest] >= rounded[order[self.k - 1]] - 2e-9][: self.k]
-                order = np.concatenate([order[: self.k], rest])
-                best, product = best[order], product[order]
+            order = np.lexsort((self.ids[best], -product))[: self.k]
+            best, product = best[order], product[order]
             if len(best) >= self.k:
-                self.least[i] = np.partition(product, -self.k)[-self.k]
+                self.least[i] = product[-1]
                 self.tau[i] = np.sqrt(max(self.q_norm[i] + self.norm**2 - 2 * self.least[i], 0.0))
             self.best[i], self.product[i] = best, product
 
