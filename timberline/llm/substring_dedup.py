@@ -1,4 +1,4 @@
-"""Repeated passages by relative Lempel-Ziv parsing against an index of blocks.
+"""Repeated passages by hashes of content-cut blocks and of windows at their ends.
 
 A passage is repeated when a window of ``WINDOW`` consecutive words starts at two
 places or more. The reference is the whole corpus, cut into blocks by content:
@@ -7,7 +7,7 @@ windows in a row that name the same anchor are a block. Equal windows name equal
 anchors at the same distance, so a repeated window lies in blocks whose anchor
 occurs again, and only such blocks are looked at further.
 
-A document is parsed greedily into factors over the indexed blocks:
+There is no greedy Lempel-Ziv parse; here a factor is a longest run of covered windows:
 
 * a block whose whole content occurs again is part of a factor as it stands; in
   the midst of copied text all blocks are of this kind;
