@@ -281,9 +281,14 @@ def test_bpe_equals_the_tokenizer(spark, odd):
 
 
 # -------------------------------------------------------------- near duplicates
+def hashed_words(texts):
+    words = split_words(pa.array(texts, pa.string()))
+    low = (words.hashes() >> np.uint64(32)).astype(np.uint32)
+    return [low[i:j] for i, j in zip(words.first[:-1], words.first[1:])]
+
+
 def classes(texts, threshold=minhash_dedup.THRESHOLD):
-    grams, first = minhash_dedup.kmers(split_words(pa.array(texts)))
-    rows = [grams[i:j] for i, j in zip(first[:-1], first[1:])]
+    rows = hashed_words(texts)
     up = list(range(len(texts)))
 
     def top(i):
@@ -301,7 +306,7 @@ def classes(texts, threshold=minhash_dedup.THRESHOLD):
 
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, odd):
     monkeypatch.setattr(minhash_dedup, "SMALL", 2)
-    monkeypatch.setattr(minhash_dedup, "BLOCK_KMERS", 500)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_WORDS", 500)
     rng = random.Random(11)
     texts = [prose(rng, rng.randint(1, 120)) for _ in range(40)]
     base = prose(rng, 150).split()
@@ -335,14 +340,70 @@ def test_unlike_texts_stay_under_no_id_and_under_one_id(spark):
 
 def test_alignment_is_sensitive_to_order():
     rng = np.random.default_rng(1)
-    a = rng.integers(0, 1 << 60, 400, dtype=np.uint64)
+    a = rng.integers(0, 1 << 32, 400).astype(np.uint32)
     assert minhash_dedup.similarity(a, a) == 1 and minhash_dedup.similarity(a, np.concatenate([a[200:], a[:200]])) < minhash_dedup.THRESHOLD
     b = np.delete(a, [5, 50, 300])
     assert minhash_dedup.similarity(a, b) == pytest.approx(397 / 400)
-    same = np.zeros(3000, np.uint64)
+    same = np.zeros(3000, np.uint32)
     assert minhash_dedup.similarity(same, same[:2900]) == pytest.approx(2900 / 3000)
 
 
+def test_alignment_equals_the_full_table():
+    def table(a, b, band):
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a):
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(max(row[j] + 1 if x == y and abs(i - j) <= band else 0, row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    rng = random.Random(21)
+    for t in range(400):
+        v = rng.randint(1, 12)
+        a = [rng.randrange(v) for _ in range(rng.randint(1, 150))]
+        b = list(a) if t % 2 else [rng.randrange(v) for _ in range(rng.randint(1, 150))]
+        for _ in range(rng.randint(0, 20)):
+            k = rng.randrange(len(b))
+            b[k : k + 1] = rng.choice([[b[k], rng.randrange(v)], [rng.randrange(v)], [] if len(b) > 1 else [0]])
+        band = abs(len(a) - len(b)) + rng.randint(0, 30)
+        assert minhash_dedup.aligned(np.array(a, np.uint32), np.array(b, np.uint32), band) == table(a, b, band)
+
+
+def test_recall_of_near_copies_against_all_pairs(spark):
+    """Pairs with up to a fifth of their words changed, whose alignment reaches 0.8."""
+    rng = random.Random(22)
+    texts = []
+    for k in range(300):
+        w = prose(rng, rng.randint(50, 300)).split()
+        texts.append(" ".join(w))
+        for i in rng.sample(range(len(w)), int(len(w) * 0.2 * (k % 10 + 1) / 10)):
+            w[i] = f"new{rng.random()}"
+        texts.append(" ".join(w))
+    rows = hashed_words(texts)
+    linked = [k for k in range(0, 600, 2) if minhash_dedup.similarity(rows[k], rows[k + 1]) >= minhash_dedup.THRESHOLD]
+    got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(docs(spark, texts)).collect()}
+    found = [got[k] == got[k + 1] for k in linked]
+    assert len(linked) == 300 and sum(found) / len(found) >= 0.9
+    assert all(got[k] in (k, k - 1) for k in got)  # nothing else is linked
+
+
+def test_links_of_a_large_class_grow_with_its_texts():
+    rng = random.Random(23)
+    base = prose(rng, 60).split()
+    rows = []
+    for k in range(1500):
+        w = list(base)
+        for i in rng.sample(range(60), 6):
+            w[i] = f"x{rng.randrange(40)}"
+        rows.append({"node": b"%05d" % k, "label": b"%05d" % k, "words": hashed_words([" ".join(w)])[0].tobytes()})
+    other = [{"node": b"y%d" % k, "label": b"y", "words": hashed_words([prose(rng, 60)])[0].tobytes()} for k in range(50)]
+    kind = pa.list_(pa.struct([("node", pa.binary()), ("label", pa.binary()), ("words", pa.binary())]))
+    for x, y in ((rows, rows), (rows[:700], rows[700:] + other)):
+        (found,) = minhash_dedup._compare_blocks(iter([pa.RecordBatch.from_arrays([pa.array([x], kind), pa.array([y], kind)], names=["x", "y"])]))
+        assert 0 < found.num_rows < len({r["label"] for r in x + y})
+
+
 # ------------------------------------------------------------------- pipeline
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline

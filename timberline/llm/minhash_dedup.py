@@ -7,21 +7,24 @@ are kept *in text order* and hashed together: two documents agree in a sketch
 when they share those k-mers in the same order, so order counts as it does for
 edit distance. Documents that agree in any sketch are candidates.
 
-A candidate pair is verified by aligning the two k-mer sequences within a band:
-with M aligned k-mers out of m and n, the similarity is M / (m + n - M), which
-is at most the Jaccard similarity of the k-mers and equals it where the order
-agrees. At a similarity of 0.8 the alignment can leave the diagonal by no more
-than m + n - 2M <= (m + n) / 9, so the band loses nothing.
+A candidate pair is verified by aligning its two word sequences within a band:
+with M aligned words, the edit similarity is M / max(m, n), the share of the
+longer text that stays in place. At a similarity of 0.8 an alignment leaves the
+diagonal by no more than a fifth of the longer text, so the band loses nothing.
 
-Two documents of the threshold's similarity agree in one sketch with a
-probability of about 0.8 ** 2 = 0.64, and in none of 12 with 5e-6.
+One changed word breaks five k-mers, so texts with a share e of their words
+changed at random have a Jaccard similarity of J = s / (2 - s), s = (1 - e) ** 5,
+and agree in a sketch with about J ** 2: with 40 sketches they meet with 0.9995 at
+e = 0.1, 0.97 at 0.15 and 0.79 at the threshold itself; over even shares up to
+the threshold 0.96 of the pairs meet, and chains through other copies add to it.
 
 Copies of one text are one class from the start, found by digest, and take part
 once. In a large bucket each text meets the leader only, which joins most of
-them; where texts of several classes remain, they are compared in blocks of
-bounded size, whose counts of common k-mers are never emitted as pairs. So no
-link between two texts that share a bucket is lost, and no bucket is cut off.
-Classes are the connected components of verified pairs.
+them. Where texts of several classes remain, they are compared in blocks of
+bounded size by length; a pair of blocks gives links between classes only, so
+never more than it has texts. No link between two texts that share a bucket is
+lost, and no bucket is cut off. Classes are the connected components of verified
+pairs.
 
 Word sequences travel as 32-bit word hashes.
 
@@ -36,7 +39,6 @@ none, are of different labels though their class_id is the same.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -51,12 +53,12 @@ from timberline.llm.scratch import Scratch
 from timberline.llm.textkit import U, Words, mix, signed, slices, split_words
 
 WORDS = 5
-SKETCHES = 12
+SKETCHES = 40
 ORDER = 2
 THRESHOLD = 0.8
 SMALL = 8  # buckets of so many texts or fewer are compared at once
-BLOCK_KMERS = 100_000
-_SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
+BLOCK_WORDS = 100_000
+_SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, (SKETCHES, 2), dtype=np.uint64) * U(2) + U(1)
 
 
 def kmers(words: Words, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -90,23 +92,24 @@ def sketches(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
     if not len(full):
         return out
     labelled = mix(grams + occurrence_labels(grams, first).astype(U) * U(0x9FB21C651E98DF25))
-    begin, size = first[:-1][full], np.diff(first)[full]
-    owner = np.repeat(np.arange(len(full)), size)
-    for s, seed in enumerate(_SEEDS):
-        value = mix(labelled ^ seed)
-        spots, found = [], []
+    begin = first[:-1][full]
+    # The place in the low bits: the least value tells where it is.
+    bits = U(len(labelled).bit_length())
+    low = (U(1) << bits) - U(1)
+    place = np.arange(len(labelled), dtype=U)
+    for s, (by, add) in enumerate(_SEEDS):
+        value = (labelled * by + add) & ~low | place
+        spots = []
         for _ in range(ORDER):
             least = np.minimum.reduceat(value, begin)
-            spot = np.flatnonzero(value == least[owner])
-            spot = spot[np.unique(owner[spot], return_index=True)[1]]  # the first in each row
+            spot = (least & low).astype(np.int64)
+            if spots:  # a text of one k-mer has no second
+                spot = np.where(least == ~U(0), spots[-1], spot)
             spots.append(spot)
-            found.append(labelled[spot])
             value[spot] = ~U(0)
-        order = np.argsort(np.stack(spots), axis=0, kind="stable")  # back to text order
-        ordered = np.take_along_axis(np.stack(found), order, 0)
-        joined = np.full(len(full), seed, U)
-        for part in ordered:
-            joined = mix(joined * U(0x2545F4914F6CDD1D) + part)
+        joined = np.full(len(full), by, U)
+        for spot in np.sort(np.stack(spots), axis=0):  # back to text order
+            joined = mix(joined * U(0x2545F4914F6CDD1D) + labelled[spot])
         out[full, s] = joined
     return out
 
@@ -114,78 +117,66 @@ def sketches(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------- alignment
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Length of a longest common subsequence of ``a`` and ``b`` whose matches lie
-    at most ``band`` off the diagonal."""
+    at most ``band`` off the diagonal; ``band`` is no less than their difference in
+    length.
+
+    Rows are computed by bits: a zero at column j says that the best alignment
+    grows there. Columns more than ``band`` behind the row don't change any more and
+    are counted and shifted out, so a row takes as many bits as the band is wide.
+    """
     n = min(len(a), len(b))
-    head = np.flatnonzero(a[:n] != b[:n])
-    head = int(head[0]) if len(head) else n
+    other = np.flatnonzero(a[:n] != b[:n])
+    head = int(other[0]) if len(other) else n
     a, b = a[head:], b[head:]
     n = min(len(a), len(b))
-    tail = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
-    tail = int(tail[0]) if len(tail) else n
-    shift = 0
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    if not len(a) or not len(b):
+    other = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
+    tail = int(other[0]) if len(other) else n
+    a, b = a[: len(a) - tail].tolist(), b[: len(b) - tail].tolist()
+    if not a or not b:
         return head + tail
-    places = defaultdict(list)
-    for j, g in enumerate(b.tolist()):
-        places[g].append(j)
-    size = sum(min(len(places[g]), 2 * band + 1) for g in a.tolist() if g in places)
-    if size > 16 * (len(a) + len(b)):
-        return head + tail + _by_edits(a, b, band)
-    ends: list[int] = []  # least last place in b of a common subsequence of each length
-    for i, g in enumerate(a.tolist()):
-        for j in reversed(places.get(g, ())):
-            if abs(i - j + shift) <= band:
-                k = bisect_left(ends, j)
-                if k == len(ends):
-                    ends.append(j)
-                else:
-                    ends[k] = j
-    return head + tail + len(ends)
-
-
-def _by_edits(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """The same by furthest-reaching paths, for sequences full of repeats; gives
-    up (as too different) beyond ``band`` insertions and deletions."""
-    n, m = len(a), len(b)
-    reach = {1: 0}
-    for edits in range(band + 1):
-        for diagonal in range(-edits, edits + 1, 2):
-            down = diagonal == -edits or (diagonal != edits and reach[diagonal - 1] < reach[diagonal + 1])
-            x = reach[diagonal + 1] if down else reach[diagonal - 1] + 1
-            y = x - diagonal
-            while x < n and y < m:
-                step = min(n - x, m - y, 256)
-                other = np.flatnonzero(a[x : x + step] != b[y : y + step])
-                run = int(other[0]) if len(other) else step
-                x, y = x + run, y + run
-                if run < step:
-                    break
-            reach[diagonal] = x
-            if x >= n and y >= m:
-                return (n + m - edits) // 2
-    return 0
+    found, row, left, right = 0, 0, 0, 0
+    bits = 0  # of the columns left to right
+    step = max(64, band)
+    ones = (1 << (2 * band + 1)) - 1
+    while row < len(a):
+        rows = a[row : row + step]
+        gone = min(max(left, row - band), right) - left
+        found += gone - (bits & ((1 << gone) - 1)).bit_count()
+        bits, left = bits >> gone, left + gone
+        stop = min(len(b), row + len(rows) + band)
+        bits |= ((1 << (stop - right)) - 1) << (right - left)
+        right = stop
+        matches: dict[int, int] = defaultdict(int)
+        for j, w in enumerate(b[left:right]):
+            matches[w] |= 1 << j
+        whole = (1 << (right - left)) - 1
+        for i, w in enumerate(rows, row):
+            match = matches.get(w)
+            if match:
+                shift = i - band - left
+                hit = bits & match & (ones << shift if shift >= 0 else ones >> -shift)
+                bits = ((bits + hit) | (bits - hit)) & whole
+        row += len(rows)
+    return head + tail + found + (right - left) - bits.bit_count()
 
 
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
-    """Aligned k-mers over all k-mers of both; 0 where it can't reach the threshold."""
-    m, n = len(a), len(b)
-    if not m or not n or min(m, n) < threshold * max(m, n):
+    """Aligned words over the words of the longer; 0 where it can't reach the threshold."""
+    most = max(len(a), len(b))
+    if not most or min(len(a), len(b)) < threshold * most - 1e-9:
         return 0.0
-    need = threshold / (1 + threshold) * (m + n)
     x, cx = np.unique(a, return_counts=True)
     y, cy = np.unique(b, return_counts=True)
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    if np.minimum(cx[i], cy[j]).sum() < need - 1e-9:
+    if np.minimum(cx[i], cy[j]).sum() < threshold * most - 1e-9:
         return 0.0
-    found = aligned(a, b, int((m + n) * (1 - threshold) / (1 + threshold)) + 1)
-    return found / (m + n - found)
+    return aligned(a, b, int(most * (1 - threshold) + 1e-9)) / most
 
 
 # ------------------------------------------------------------------ Spark
 def sketch_table(docs: DataFrame) -> DataFrame:
-    """doc_id, node (the digest of the text), n (words), m (k-mers), s (array of
-    signatures): narrow rows from one scan, without a shuffle."""
+    """doc_id, node (the digest of the text), n (words), s (array of signatures):
+    narrow rows from one scan, without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -193,9 +184,9 @@ def sketch_table(docs: DataFrame) -> DataFrame:
             grams, first = kmers(words)
             made = signed(sketches(grams, first))
             lists = pa.ListArray.from_arrays(np.arange(0, made.size + 1, SKETCHES, dtype=np.int32), made.reshape(-1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words.counts, pa.int64()), pa.array(np.diff(first), pa.int64()), lists], names=["doc_id", "node", "n", "m", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words.counts, pa.int64()), lists], names=["doc_id", "node", "n", "s"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, node binary, n long, m long, s array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, node binary, n long, s array<long>")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -214,7 +205,7 @@ def word_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             packed = [low[i:j].tobytes() for i, j in zip(words.first[:-1].tolist(), words.first[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "words"])
 
-    rows, wanted = _texts(docs), nodes.withColumnRenamed("node", "w").hint("shuffle_hash")
+    rows, wanted = _texts(docs), nodes.withColumnRenamed("node", "w")
     picked = rows.join(wanted, (rows["node"] == wanted["w"]) & rows["doc_id"].eqNullSafe(wanted["rep"]))
     return picked.select("node", "text").mapInArrow(run, "node binary, words binary").dropDuplicates(["node"])
 
@@ -225,7 +216,7 @@ def verify(pairs: DataFrame, words: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column("wa"), batch.column("wb")
-            scores = np.array([similarity(_packed_kmers(left[r].as_buffer()), _packed_kmers(right[r].as_buffer())) for r in range(batch.num_rows)])
+            scores = np.array([similarity(_unpacked(left[r].as_buffer()), _unpacked(right[r].as_buffer())) for r in range(batch.num_rows)])
             keep = np.flatnonzero(scores >= THRESHOLD - 1e-12)
             kept = batch.select(["a", "b"]).take(pa.array(keep))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(scores[keep], pa.float64())], names=["a", "b", "similarity"])
@@ -235,70 +226,69 @@ def verify(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a binary, b binary, similarity double")
 
 
-def _packed_kmers(packed) -> np.ndarray:
-    w = np.frombuffer(packed, np.uint32).astype(U)
-    k = min(WORDS, len(w))
-    out = np.zeros(max(0, len(w) - k + 1) if k else 0, U)
-    for j in range(k):
-        out = mix(out * U(0xD1342543DE82EF95) + w[j : j + len(out)])
-    return out
+def _unpacked(words) -> np.ndarray:
+    return np.frombuffer(words, np.uint32)
 
 
 def verified_edges(docs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """a, b, similarity of verified pairs of distinct texts that connect all that
-    is linked. ``texts``: node, rep, m, s with one row per distinct text."""
-    rows = texts.where("m > 0").select("node", "m", F.explode("s").alias("bucket"))
-    shared = scratch.save(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("m").alias("mass")).where("size > 1"), "buckets")
-    members = scratch.save(rows.join(shared, "bucket"), "members")
+    is linked. ``texts``: node, rep, n, s with one row per distinct text."""
+    rows = texts.where("n > 0").select("node", F.explode(F.array_distinct("s")).alias("bucket"))
+    shared = scratch.save(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
+    met = rows.join(shared, "bucket")
+    members = scratch.save(met.join(texts.select("node", "n"), "node"), "members")
     weight = scratch.save(members.groupBy("node").agg(F.sum("size").alias("weight")), "weight")
     words = scratch.save(word_table(docs, weight.select("node").join(texts.select("node", "rep"), "node")), "words")
 
     # Few texts: each meets each. Many: each meets the leader, the text that shares
     # the most sketches with others, such as the one that the others were made from.
     few, many = members.where(F.col("size") <= SMALL), scratch.save(members.where(F.col("size") > SMALL), "many")
-    one = few.select("bucket", F.col("node").alias("a"), F.col("m").alias("am"))
-    two = few.select("bucket", F.col("node").alias("b"), F.col("m").alias("bm"))
-    fits = f"least(am, bm) >= {THRESHOLD} * greatest(am, bm)"
+    one = few.select("bucket", F.col("node").alias("a"), F.col("n").alias("an"))
+    two = few.select("bucket", F.col("node").alias("b"), F.col("n").alias("bn"))
+    fits = f"least(an, bn) >= {THRESHOLD} * greatest(an, bn) - 1e-9"
     each = one.join(two, "bucket").where(f"a < b and {fits}").select("a", "b")
-    lead = many.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node", "m")).alias("x"))
-    lead = scratch.save(lead.select("bucket", F.col("x.node").alias("b"), F.col("x.m").alias("bm")), "leaders")
-    led = many.select("bucket", F.col("node").alias("a"), F.col("m").alias("am")).join(lead, "bucket").where(f"a <> b and {fits}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    lead = many.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node", "n")).alias("x"))
+    lead = scratch.save(lead.select("bucket", F.col("x.node").alias("b"), F.col("x.n").alias("bn")), "leaders")
+    led = many.select("bucket", F.col("node").alias("a"), F.col("n").alias("an")).join(lead, "bucket").where(f"a <> b and {fits}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     edges = scratch.save(verify(each.unionByName(led).distinct(), words), "edges-led")
     if not many.limit(1).count():
         return edges
 
     # Buckets whose texts aren't of one class yet: the rest are compared in blocks.
+    # Texts that can be linked differ in length by less than a class of lengths.
     labels = connected_components(edges, scratch, "led")
     known = scratch.save(many.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    still = known.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(F.col("bucket").alias("k"))
-    still = scratch.save(still, "open")
-    rest = known.join(still, F.col("bucket") == F.col("k")).join(words.withColumnRenamed("node", "w"), F.col("node") == F.col("w"))
-    number = F.ceil(F.col("mass") / BLOCK_KMERS).cast("int")
-    block = F.pmod(F.xxhash64("node"), number).cast("int").alias("block")
-    packed = rest.select("bucket", block, "node", "label", "words").groupBy("bucket", "block").agg(F.collect_list(F.struct("node", "label", "words")).alias("rows"))
+    still = known.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    sized = F.floor(F.log(F.col("n") + 0.0) / F.log(F.lit(1 / THRESHOLD)) + 1e-6).cast("int")
+    rest = scratch.save(known.join(scratch.save(still, "open"), "bucket").withColumn("length", sized), "rest")
+    mass = scratch.save(rest.groupBy("bucket", "length").agg(F.ceil(F.sum("n") / BLOCK_WORDS).cast("int").alias("parts")), "mass")
+    block = F.pmod(F.xxhash64("node"), "parts").cast("int").alias("block")
+    placed = rest.join(mass, ["bucket", "length"]).select("bucket", "length", block, "node", "label").withColumnRenamed("node", "w")
+    packed = placed.join(words, F.col("w") == F.col("node")).groupBy("bucket", "length", "block").agg(F.collect_list(F.struct("node", "label", "words")).alias("rows"))
     packed = scratch.save(packed, "blocks")
-    left = packed.select("bucket", F.col("block").alias("i"), F.col("rows").alias("x"))
-    right = packed.select("bucket", F.col("block").alias("j"), F.col("rows").alias("y"))
-    found = left.join(right, "bucket").where("i <= j").select("x", "y").mapInArrow(_compare_blocks, "a binary, b binary, similarity double")
+    left = packed.select("bucket", "length", F.col("block").alias("i"), F.col("rows").alias("x"))
+    right = packed.select("bucket", F.col("length").alias("own"), F.explode(F.array(F.col("length"), F.col("length") - 1)).alias("length"), F.col("block").alias("j"), F.col("rows").alias("y"))
+    pairs = left.join(right, ["bucket", "length"]).where("own > length or i <= j").select("x", "y")
+    found = pairs.mapInArrow(_compare_blocks, "a binary, b binary, similarity double")
     return edges.unionByName(scratch.save(found.distinct(), "edges-rest"))
 
 
 @dataclass
 class _Block:
-    """Texts of a bucket: their k-mers, labelled with occurrences, as postings."""
+    """Texts of a bucket: their words, labelled with occurrences, as postings."""
 
     nodes: list[bytes]
     labels: list[bytes]
-    grams: list[np.ndarray]
+    words: list[np.ndarray]
     marked: list[np.ndarray]
 
     @staticmethod
     def of(rows: list[dict]) -> _Block:
-        grams = [_packed_kmers(r["words"]) for r in rows]
-        first = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
-        flat = np.concatenate(grams)
+        words = [_unpacked(r["words"]) for r in rows]
+        first = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+        flat = np.concatenate(words).astype(U)
         marked = mix(flat + occurrence_labels(flat, first).astype(U) * U(0x9FB21C651E98DF25))
-        return _Block([r["node"] for r in rows], [r["label"] for r in rows], grams, [marked[i:j] for i, j in zip(first[:-1], first[1:])])
+        return _Block([r["node"] for r in rows], [r["label"] for r in rows], words, [marked[i:j] for i, j in zip(first[:-1], first[1:])])
 
     def postings(self) -> tuple[np.ndarray, np.ndarray]:
         flat = np.concatenate(self.marked)
@@ -307,30 +297,43 @@ class _Block:
         return flat[order], owner[order]
 
 
+class _Classes:
+    """Labels that links have joined."""
+
+    def __init__(self):
+        self.up: dict[bytes, bytes] = {}
+
+    def top(self, label: bytes) -> bytes:
+        while (up := self.up.get(label, label)) != label:
+            self.up[label] = self.up.get(up, up)
+            label = up
+        return label
+
+
 def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between texts of different classes in two blocks of one bucket. The
-    common k-mers of a text with all texts of a block are counted at once, so what
-    is held is a row of counts; each class is linked by its best text that aligns."""
+    common words of a text with all texts of a block are counted at once, so what is
+    held is a row of counts; a link that joins no two classes isn't looked for, so a
+    pair of blocks gives fewer links than it has classes."""
     for batch in batches:
         found = []
         for r in range(batch.num_rows):
             x, y = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
             everyone = Counter(row["label"] for row in x + y)
-            if len(everyone) < 2:
-                continue
-            usual = everyone.most_common(1)[0][0]
-            bx, by = _Block.of(x), _Block.of(y)
-            found += _links(bx, by, usual)
-            if batch.column(0)[r] != batch.column(1)[r]:
-                found += _links(by, bx, usual)
+            if len(everyone) > 1:
+                usual = everyone.most_common(1)[0][0]
+                classes, bx, by = _Classes(), _Block.of(x), _Block.of(y)
+                found += _links(bx, by, usual, classes)
+                if x != y:
+                    found += _links(by, bx, usual, classes)
         a, b, s = zip(*found) if found else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
 
 
-def _links(some: _Block, all_of: _Block, usual: bytes) -> Iterator[tuple[bytes, bytes, float]]:
+def _links(some: _Block, all_of: _Block, usual: bytes, classes: _Classes) -> Iterator[tuple[bytes, bytes, float]]:
     """Links of the texts of ``some`` that aren't of the usual class."""
     flat, owner = all_of.postings()
-    size = np.array([len(g) for g in all_of.grams])
+    size = np.array([len(w) for w in all_of.words])
     for i, label in enumerate(some.labels):
         if label == usual:
             continue
@@ -338,13 +341,13 @@ def _links(some: _Block, all_of: _Block, usual: bytes) -> Iterator[tuple[bytes,
         count = high - low
         hits = owner[np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
         common = np.bincount(hits, minlength=len(size))
-        near = common / (size + len(some.marked[i]) - common)
-        linked = {label}
-        for j in sorted(np.flatnonzero(near >= THRESHOLD - 1e-12).tolist(), key=lambda j: -near[j]):
-            if all_of.labels[j] not in linked:
-                s = similarity(some.grams[i], all_of.grams[j])
+        near = common / np.maximum(size, len(some.marked[i]))
+        for j in sorted(np.flatnonzero(near >= THRESHOLD - 1e-9).tolist(), key=lambda j: -near[j]):
+            mine, other = classes.top(label), classes.top(all_of.labels[j])
+            if mine != other:
+                s = similarity(some.words[i], all_of.words[j])
                 if s >= THRESHOLD - 1e-12:
-                    linked.add(all_of.labels[j])
+                    classes.up[mine] = other
                     yield min(some.nodes[i], all_of.nodes[j]), max(some.nodes[i], all_of.nodes[j]), s
 
 
@@ -354,7 +357,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     text, and label, which no two classes share."""
     scratch = Scratch(docs.sparkSession, "near")
     table = scratch.save(sketch_table(docs), "sketches")
-    texts = table.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("m").alias("m"), F.first("s").alias("s"))
+    texts = table.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("s").alias("s"))
     texts = scratch.save(texts, "texts")
     edges = scratch.save(verified_edges(docs, texts, scratch), "edges")
     labels = connected_components(edges, scratch, "last")
@@ -380,7 +383,7 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "node")
     best = own.groupBy("label").agg(F.min(first).alias("x"))
     stay = scratch.save(best.select(F.col("x.doc_id").alias("sid"), F.col("x.node").alias("snode")), "stay")
-    kept = keyed.join(stay.hint("shuffle_hash"), keyed["doc_id"].cast("long").eqNullSafe(stay["sid"]) & (keyed["_node"] == stay["snode"]), "left_semi")
+    kept = keyed.join(stay, keyed["doc_id"].cast("long").eqNullSafe(stay["sid"]) & (keyed["_node"] == stay["snode"]), "left_semi")
     repeated = own.where("rows > 1").select(F.col("doc_id").alias("sid"), F.col("node").alias("snode"))
     if repeated.limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "_node"])
