@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -24,6 +25,16 @@ def none(spark):
     return spark.createDataFrame([], DOCS)
 
 
+def in_sql(sql, columns, **tables):
+    """Rows of the stated SQL over the given tables, counted."""
+    import duckdb
+
+    with duckdb.connect() as db:
+        for name, df in tables.items():
+            db.register(name, df.toArrow())
+        return Counter(db.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall())
+
+
 # ------------------------------------------------------------------ words
 def test_words_are_split_as_bytes_split():
     rng = random.Random(2)
@@ -37,19 +48,59 @@ def test_words_are_split_as_bytes_split():
 
 
 # ------------------------------------------------------------------ licences
+def value(said, allowed=license_scan.PERMISSIVE):
+    """Python's own parser as the brute-force version: names are looked up, and an
+    exception is dropped with its ``with``."""
+    names = lambda m: m[0] if m[0] in ("and", "or") else str(m[0].removesuffix("+") in allowed)
+    return eval(re.sub(r"[a-z0-9.+-]+", names, re.sub(r" with [a-z0-9.-]+", "", said.lower())))
+
+
 def test_expressions():
-    assert license_scan.postfix("MIT OR (Apache-2.0 AND GPL-2.0 WITH Classpath)") == ["mit", "apache-2.0", "gpl-2.0", "classpath", "with", "and", "or"]
-    assert license_scan.evaluate("MIT OR GPL-3.0") is True and license_scan.evaluate("MIT AND GPL-3.0") is False
-    for bad in ("", "MIT OR", "(MIT", "MIT)", "MIT Apache-2.0"):
-        assert license_scan.evaluate(bad) is None
+    program, said = license_scan.parse(b"MIT OR (Apache-2.0 AND GPL-2.0 WITH Classpath-exception-2.0) or")
+    assert program == ["mit", "apache-2.0", "gpl-2.0", "classpath-exception-2.0", "with", "and", "or"] and said == "mit or ( apache-2.0 and gpl-2.0 with classpath-exception-2.0 )"
+    assert license_scan.evaluate(license_scan.parse(b"MIT OR GPL-3.0")[0]) is True and license_scan.evaluate(license_scan.parse(b"MIT AND GPL-3.0")[0]) is False
+    for bad in (b"", b"(MIT", b")MIT", b"and MIT", b"prose", b"with MIT"):
+        assert license_scan.parse(bad) == ([], "") and license_scan.evaluate([]) is None
+    for text, whole in ((b"MIT. The rest of this line, is prose here", "mit"), (b"MIT OR prose", "mit"), (b"MIT Apache-2.0", "mit"), (b"(MIT) -->", "( mit )"), (b"mit with the", "mit"), (b"GPL-2.0+, and", "gpl-2.0+")):
+        assert license_scan.parse(text)[1] == whole
+
+
+def random_expression(rng, depth=0):
+    if depth > 3 or rng.random() < 0.4:
+        name = rng.choice(["MIT", "GPL-2.0+", "ISC", "LGPL-2.1-only", "Zlib", "GPL-3.0"])
+        return name + rng.choice(["", "", " WITH GCC-exception-3.1"])
+    inside = f" {rng.choice(['and', 'OR'])} ".join(random_expression(rng, depth + 1) for _ in range(rng.randint(2, 4)))
+    return f"({inside})" if rng.random() < 0.6 else inside
+
+
+def test_expressions_equal_brute_force():
+    rng = random.Random(24)
+    for _ in range(500):
+        said = random_expression(rng)
+        program, whole = license_scan.parse(said.encode() + rng.choice([b"", b". Prose", b" as said", b" and", b" (MIT", b" */"]))
+        assert whole == " ".join(re.findall(r"[()]|[^ ()]+", said.lower()))
+        assert license_scan.evaluate(program) == value(said)
+        assert set(license_scan.operands(program)) == {t.removesuffix("+") for t in re.findall(r"[a-z0-9.+-]+", re.sub(r" with \S+", "", whole)) if t not in ("and", "or")}
 
 
 def test_license_scan(spark, odd):
+    rng = random.Random(25)
     texts = ["Under the MIT License. MIT-License", "apache\nLICENSE general public license", "emit license", "// SPDX-License-Identifier: MIT OR Zlib\nint x;", None]
     got = [r.asDict() for r in license_scan.license_scan(docs(spark, texts)).orderBy("doc_id").collect()]
     assert [(g["n_words"], g["n_base"], g["first_word"], g["last_word"], g["base_labels"]) for g in got] == [(6, 2, 2, 4, "mit"), (5, 2, 0, 2, "apache,gpl"), (2, 0, None, None, ""), (8, 0, None, None, ""), (0, 0, None, None, "")]
     assert got[3]["labels"] == "mit,zlib" and got[3]["permissive"] is True
-    assert license_scan.license_scan(odd).count() == odd.count() and license_scan.license_scan(none(spark)).count() == 0
+    lines = ["SPDX-License-Identifier: MIT. The rest of this line, is prose here", "spdx-license-identifier: unknown", "* SPDX-License-Identifier: (MIT OR GPL-2.0-only) */ x", "SPDX-License-Identifier:", "the MIT license", "SPDX-License-Identifier: LicenseRef-Own.1. and", "SPDX-License-Identifier: MIT WITH MIT"]
+    texts += lines + ["\n".join(rng.choice([*lines, "x y", f"SPDX-License-Identifier: {random_expression(rng)}{rng.choice(['', '.', ' text', ')'])}"]) for _ in range(rng.randint(0, 4))) for _ in range(150)]
+    texts += [("the MIT license and the Apache License " * 300), lines[0], lines[0]]
+    df = docs(spark, texts).unionByName(odd.select("doc_id", "text"))
+    columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions", "permissive"]
+    mine = Counter(tuple(r) for r in license_scan.license_scan(df).select(*columns).collect())
+    assert mine == in_sql(license_scan.ORACLE_SQL, columns, documents=df)
+    by_text = {r.doc_id: r for r in license_scan.license_scan(docs(spark, texts)).collect()}
+    assert by_text[5].labels == "mit" and by_text[6].labels == "" and by_text[6].permissive is None and by_text[len(texts) - 3].n_base == 600
+    assert license_scan.license_scan(none(spark)).count() == 0
+    long = license_scan.scan_text(b"the MIT license and the Apache License " * 50_000)
+    assert (long["n_words"], long["n_base"], long["first_word"], long["last_word"]) == (350_000, 100_000, 1, 349_998)
 
 
 # ------------------------------------------------------------------- vectors
