@@ -194,6 +194,41 @@ def test_urls(spark):
     assert url_filter.url_filter(df.limit(0)).count() == 0
 
 
+def test_long_rule_lists_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(26)
+    host = lambda: ".".join(rng.choice(["a", "bb", "shop", "x-y", "news"]) for _ in range(rng.randint(1, 3))) + rng.choice([".com", ".net", ""])
+    path = lambda: "".join("/" + rng.choice(["en", "de", "a.b", "q7", "Ads"]) for _ in range(rng.randint(0, 4))) + rng.choice(["", "/", "/7"])
+    stated = {}
+    while len(stated) < 400:
+        h, p = host(), path()
+        stated[h + p] = url_filter.Rule(rng.choice(["allow", "block"]), h, p)
+    rules = tuple(stated.values())
+    urls = [f"http://{host()}{path()}{rng.choice(['', '?u=/en/', '#f'])}" for _ in range(2000)] + [None, "", "x", "http://a.com/en/" + "en/" * 50_000, "http://shop.com/banner/x"] * 2
+    df = spark.createDataFrame([(i, u, "h", "v") for i, u in enumerate(urls)], "page_id long, url string, host string, verdict string").repartition(3)
+
+    def best(host, path):
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return max(((len(r.name), r.name, r.verdict) for r in fits), default=(0, None, "allow"))[1:]
+
+    runs = []
+    for most in (256, 1000):
+        monkeypatch.setattr(url_filter, "MOST_LITERALS", most)
+        runs.append({r.page_id: r for r in url_filter.url_filter(df, rules=rules).collect()})
+    monkeypatch.setattr(url_filter, "MOST_LITERALS", 256)
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", 0)
+    runs.append({r.page_id: r for r in url_filter.url_filter(df, rules=rules).collect()})
+    for got in runs:
+        assert got == runs[0] and len(got) == len(urls)
+        for r in got.values():
+            rule, verdict = best(r.host, r.path)
+            assert r.rule == rule and (r.verdict == verdict if rule else r.verdict == ("block" if r.method_rule else "allow"))
+    columns = ["page_id", "host", "path", "rule", "verdict", "method_rule"]
+    assert Counter(tuple(r) for r in url_filter.url_filter(df).select(*columns).collect()) == in_sql(url_filter.ORACLE_SQL, columns, pages=df)
+    bare = spark.createDataFrame([("block", "", "/", "", [])], url_filter.RULE_FIELDS)
+    with pytest.raises(Exception, match="literal token"):
+        url_filter.url_filter(df, rules=bare).collect()
+
+
 # -------------------------------------------------------------- language model
 def test_lm_base_equals_brute_force(spark, odd):
     rng = random.Random(8)
