@@ -246,6 +246,52 @@ def test_lm_base_equals_brute_force(spark, odd):
     assert lm_score.lm_scores(odd).count() == odd.count() and lm_score.lm_scores(none(spark)).count() == 0
 
 
+def test_lm_score_equals_brute_force(spark, monkeypatch):
+    """Counts by dictionaries, the weights from them, and the mixture word by word;
+    with many chunks."""
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 2000)
+    rng = random.Random(27)
+    texts = [prose(rng, rng.randint(0, 60)) for _ in range(300)]
+    texts += texts[:40] + ["", None]
+    got = {r.doc_id: r for r in lm_score.lm_scores(docs(spark, texts).repartition(5)).collect()}
+    code = {i: zlib.crc32(str(i).encode()) for i in range(len(texts))}
+    train = {i for i in code if code[i] % 5 != 1}
+    deleted = {i for i in train if code[i] // 5 % lm_score.DELETED_FOLDS == 0}
+    said = {i: ["<", *(t or "").split(), ">"] for i, t in enumerate(texts)}
+
+    def counts(ids):
+        return Counter(w for i in ids for w in said[i]), Counter(p for i in ids for p in zip(said[i], said[i][1:]))
+
+    words, pairs = counts(train)
+    rest_words, rest_pairs = counts(train - deleted)
+    n, v = sum(words.values()) - words["<"], len(words) - 1
+    rest_n = sum(rest_words.values()) - rest_words["<"]
+    cells = Counter()
+    for i in deleted:
+        for h, w in zip(said[i], said[i][1:]):
+            c = rest_words[h]
+            two = rest_pairs[h, w] / c if c else 0.0
+            cells[int(lm_score.context_bucket(np.array([c]))[0]), int(lm_score._bin(np.array([two]))[0]), int(lm_score._bin(np.array([rest_words[w] / rest_n]))[0])] += 1
+    weights = lm_score.learn_weights(sorted((*k, m) for k, m in cells.items()), 1 / (v + 1))
+    for i in said:
+        total = 0.0
+        for h, w in zip(said[i], said[i][1:]):
+            a, b, g = weights[int(lm_score.context_bucket(np.array([words[h]]))[0])]
+            total += np.log10(a * (pairs[h, w] / words[h] if words[h] else 0.0) + b * words[w] / n + g / (v + 1))
+        assert got[i].score == pytest.approx(total, rel=1e-9)
+
+
+@pytest.mark.parametrize("entries", [20, 100, 1000])
+def test_lm_totals_pass_32_bits_in_slices(monkeypatch, entries):
+    monkeypatch.setattr(lm_score, "SLICE_ENTRIES", entries)
+    h = np.arange(1, 100, dtype=np.uint64)
+    many = np.full((99, 2), 2**32 - 1, np.uint32)
+    rows = [(0, 0, k, 7, lm_score.planes(h), lm_score.planes(many.reshape(-1))) for k in range(3)]
+    table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), lm_score._ASK)], schema=lm_score._ASK)
+    summed = lm_score._sum_range(table)
+    assert (lm_score._totals(summed.filter(pa.compute.equal(summed["chunk"], 1)), 0, 99, 7) == 3 * (2**32 - 1)).all()
+
+
 def test_lm_mixture_sums_to_one_and_em_improves():
     rng = np.random.default_rng(0)
     words, seq = 30, rng.integers(0, 30, 3000)
@@ -261,7 +307,7 @@ def test_lm_mixture_sums_to_one_and_em_improves():
 # ------------------------------------------------------------------------ WARC
 def test_warc(spark, tmp_path):
     big, small = "p" * 5000, "s" * 10
-    rows = [(1, "http://a", big), (2, "http://b\r\nX: y", big), (3, None, small), (4, "u", small), (5, "u", None), (6, "u", "é" * 600), (None, "u", "z" * 2000), (9, "u", big), (6, "u", "é" * 600)]
+    rows = [(1, "http://a", big), (2, "http://b\r\nX: y", big), (3, None, small), (4, "u", small), (5, "u", None), (6, "u", "é" * 600), (None, "u", "z" * 2000), (9, "u", big), (6, "u", "é" * 600), (10, "u", "v" * 3_000_000)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, record_type string").repartition(3)
     got = sorted((r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc_store.warc_round_trip(df).collect())
     want = []
@@ -276,13 +322,23 @@ def test_normaliser_takes_many_members_and_tells_cut_files():
     import gzip
     import io
 
-    records = [warc_store.record_bytes(i, "u", b"x" * i * 1000, None) for i in range(20)]
+    records = [b"".join(warc_store.record_blocks(i, "u", bytes([65 + i]) * i * 100_000, None)) for i in range(20)]
     whole = gzip.compress(b"".join(records[:9])) + gzip.compress(b"".join(records[9:]))
     out = io.BytesIO()
     index = list(warc_store.normalise_archive(io.BytesIO(whole), out))
-    assert list(warc_store.read_members(out, [(e["offset"], e["length"]) for e in index])) == records
-    with pytest.raises(ValueError):
-        list(warc_store.split_records(iter([b"".join(records)[:-3]])))
+    places = [(e["offset"], e["length"]) for e in index]
+    assert [b"".join(r) for r in warc_store.read_members(out, places)] == records
+    assert [warc_store.read_record(r)["payload_bytes"] for r in warc_store.read_members(out, places)] == [i * 100_000 for i in range(20)]
+    assert max(len(b) for b in warc_store.inflated(io.BytesIO(whole))) <= warc_store.BLOCK
+    joined = b"".join(records)
+    assert [k for k, _ in warc_store.record_events(joined[i : i + 7] for i in range(0, len(joined), 7))].count("end") == 20
+    for bad in (joined[:-3], joined + b"x", records[3][:-4] + b"abcd"):
+        with pytest.raises(ValueError):
+            list(warc_store.record_events(iter([bad])))
+
+
+def test_warc_folder_without_a_scheme_is_the_file_systems(spark, tmp_path):
+    assert warc_store.qualified(spark, f"{tmp_path}/a") == f"file://{tmp_path}/a" == warc_store.qualified(spark, f"file:{tmp_path}/a")
 
 
 # ------------------------------------------------------------- decontamination

@@ -10,17 +10,18 @@ the training documents is deleted from the counts, and the likelihood of its
 tokens under the rest is raised. The final counts are those of all training
 documents.
 
-Counts never gather in one place. A scan cuts the documents into chunks and
-sends, for each chunk, its distinct words and word pairs (as sorted hashes, in as
-many ranges as there are partitions), so a word that fills a third of all text
-is one entry a chunk. Each range is summed by itself and the totals go back to
-the chunks that asked, in the same order, where the texts meet them by the
-chunk's number. What is shuffled grows with the distinct pairs of the input;
-only the histogram for the weights, of fixed size, reaches the driver.
-
-Chunks are numbered by partition and place, so the three scans must see the same
-partitions: pass a table that is read from files, or written first. Every chunk
-carries a checksum, and a difference raises an error.
+Counts never gather in one place. The documents are written once as numbered
+chunks. Each chunk sends its distinct words and word pairs (as sorted hashes, in
+ranges), so a word that fills a third of all text is one entry a chunk. Each range
+is summed by itself, slice by slice, and the totals go back to the chunks that
+asked, in the same order, where the texts meet them by the chunk's number. What
+is shuffled grows with the distinct pairs of the input; only the histogram for the
+weights, of fixed size, reaches the driver.
+
+Ranges are of ``RANGE_MB`` of input up to ``MOST_RANGES`` of them, as more would
+leave a chunk with single entries for each. Larger inputs have larger ranges (half
+a gigabyte of text at 100 TB); their rows stay compressed and ``SLICE_ENTRIES``
+entries are summed at a time.
 
 Defined cases: a null or empty text is the end token alone; a null id counts as
 the text ``''`` for the folds; repeated rows are scored and counted each; very
@@ -39,7 +40,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.scratch import Scratch, partitions_for
+from timberline.llm.scratch import Scratch
 from timberline.llm.textkit import U, column_bytes, mix, slices, split_words
 
 CHUNK_BYTES, CHUNK_MOST = 4 << 20, 64 << 20
@@ -48,6 +49,8 @@ CONTEXT_BUCKETS = 24  # by powers of two of c(h); bucket 0: never seen
 BINS = 96  # of each probability, by its logarithm
 DELETED_FOLDS = 10  # one in so many training documents is the deleted fold
 RANGE_MB = 2
+MOST_RANGES = 1 << 18
+SLICE_ENTRIES = 1 << 22
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -96,21 +99,48 @@ def chunk_bytes(size: int) -> int:
     return int(min(CHUNK_MOST, CHUNK_BYTES * max(1.0, (size / 30e9) ** 0.5)))
 
 
-def numbered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-    """Chunks of doc_id, fold, text batches, numbered by partition and place."""
-    from pyspark import TaskContext
+def _pack(limit: int):
+    """Chunks of doc_id, fold, text rows as one compressed row each, numbered by
+    partition and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        from pyspark import TaskContext
+
+        squeeze = zstandard.ZstdCompressor(level=1)
+        number = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def row() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as out:
+                for part in held:
+                    out.write_batch(part)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([squeeze.compress(sink.getvalue())], pa.binary())], names=["chunk", "rows"])
+
+        for batch in slices(batches):
+            held.append(batch)
+            size += len(column_bytes(batch.column(2))[0])
+            if size >= limit:
+                yield row()
+                number, held, size = number + 1, [], 0
+        if held:
+            yield row()
+
+    return run
+
+
+def unpacked(rows: bytes) -> Chunk:
+    import zstandard
+
+    return chunk_of(list(pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rows))))
+
 
-    number = TaskContext.get().partitionId() << 32
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in slices(batches):
-        held.append(batch)
-        size += len(column_bytes(batch.column(2))[0])
-        if size >= limit:
-            yield number, held
-            number, held, size = number + 1, [], 0
-    if held:
-        yield number, held
+def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]:
+    for batch in batches:
+        for r in range(batch.num_rows):
+            yield batch.column(0)[r].as_py(), unpacked(batch.column(1)[r].as_py())
 
 
 def chunk_of(held: list[pa.RecordBatch]) -> Chunk:
@@ -136,16 +166,15 @@ def unplanes(raw: bytes, kind) -> np.ndarray:
 
 # ------------------------------------------------------------------ counts
 _ASK = pa.schema([("range", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("sum", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
-_GOT = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("range", pa.int32()), ("sum", pa.int64()), ("counts", pa.binary()), ("vocabulary", pa.int64()), ("tokens", pa.int64()), ("deleted", pa.int64())])
+_GOT = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("range", pa.int32()), ("slice", pa.int32()), ("sum", pa.int64()), ("counts", pa.binary()), ("vocabulary", pa.int64()), ("tokens", pa.int64()), ("deleted", pa.int64())])
 
 
-def _ask(ranges_log2: int, limit: int):
+def _ask(ranges_log2: int):
     """Each chunk's distinct words (kind 0) and pairs (kind 1), range by range,
     with how often training documents, and those of the deleted fold, have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, held in numbered(batches, limit):
-            chunk = chunk_of(held)
+        for number, chunk in numbered(batches):
             fold = chunk.fold[chunk.row]
             rows, check = [], chunk.checksum()
             for kind, hashes, at in ((0, chunk.words, chunk.word_at), (1, chunk.pairs, chunk.pair_at)):
@@ -162,30 +191,50 @@ def _ask(ranges_log2: int, limit: int):
 
 
 def _sum_range(table: pa.Table) -> pa.Table:
-    """Totals of one range, handed back to each asking chunk in its own order."""
+    """Totals of one range, handed back to each asking chunk in its own order. The
+    range is summed in slices of about ``SLICE_ENTRIES`` entries."""
     out = []
     for kind in (0, 1):
         part = table.filter(pa.compute.equal(table["kind"], kind))
         if not part.num_rows:
             continue
-        hashes = [unplanes(h.as_py(), np.uint64) for h in part["hashes"]]
-        sizes = [len(h) for h in hashes]
-        counts = np.concatenate([unplanes(c.as_py(), np.uint32).reshape(-1, 2) for c in part["counts"]])
-        distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        del hashes
-        total = np.stack([np.bincount(at, counts[:, k], len(distinct)) for k in (0, 1)], 1).astype(np.uint32)
-        for r, (end, size) in enumerate(zip(np.cumsum(sizes), sizes)):
-            known = (int((total[:, 0] > 0).sum()), *(int(x) for x in total.sum(0, dtype=np.int64))) if kind == 0 and r == 0 else (0, 0, 0)
-            out.append((part["chunk"][r].as_py(), kind, part["range"][r].as_py(), part["sum"][r].as_py(), planes(total[at[end - size : end]].reshape(-1)), *known))
+        edges = _slice_edges(part["hashes"])
+        for nth, (low, high) in enumerate(zip(edges[:-1], edges[1:])):
+            hashes, counts = [], []
+            for packed, counted in zip(part["hashes"], part["counts"]):
+                mine = unplanes(packed.as_py(), np.uint64)
+                i, j = (int(x) for x in np.searchsorted(mine, np.array([low, high], U)))
+                j = len(mine) if nth == len(edges) - 2 else j
+                hashes.append(mine[i:j].copy())
+                counts.append(unplanes(counted.as_py(), np.uint32).reshape(-1, 2)[i:j].copy())
+            sizes = [len(h) for h in hashes]
+            distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
+            del hashes
+            counts = np.concatenate(counts)
+            total = np.stack([np.bincount(at, counts[:, k], len(distinct)) for k in (0, 1)], 1).astype(np.uint64)  # doubles count exactly up to 2 ** 53
+            for r, (end, size) in enumerate(zip(np.cumsum(sizes), sizes)):
+                known = (int((total[:, 0] > 0).sum()), *(int(x) for x in total.sum(0))) if kind == 0 and r == 0 else (0, 0, 0)
+                out.append((part["chunk"][r].as_py(), kind, part["range"][r].as_py(), nth, part["sum"][r].as_py(), planes(total[at[end - size : end]].reshape(-1)), *known))
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _GOT)], schema=_GOT)
 
 
+def _slice_edges(packed: pa.ChunkedArray) -> list[int]:
+    """Hashes that cut a range into slices: the ranges are cut by the upper bits, so
+    the hashes of one lie evenly between its least and its largest."""
+    number, least, most = 0, (1 << 64) - 1, 0
+    for p in packed:
+        mine = unplanes(p.as_py(), np.uint64)
+        number, least, most = number + len(mine), min(least, int(mine[0])), max(most, int(mine[-1]))
+    n = max(1, -(-number // SLICE_ENTRIES))
+    return [least + (most - least) * k // n for k in range(n)] + [most]
+
+
 def _totals(table: pa.Table, kind: int, size: int, check: int) -> np.ndarray:
     """size x 2 counts (training, deleted fold) in the order of the chunk's hashes."""
-    part = table.filter(pa.compute.equal(table["kind"], kind)).sort_by("range")
-    got = np.concatenate([unplanes(c, np.uint32).reshape(-1, 2) for c in part["counts"].to_pylist()]) if part.num_rows else np.zeros((0, 2), np.uint32)
+    part = table.filter(pa.compute.equal(table["kind"], kind)).sort_by([("range", "ascending"), ("slice", "ascending")])
+    got = np.concatenate([unplanes(c, np.uint64).reshape(-1, 2) for c in part["counts"].to_pylist()]) if part.num_rows else np.zeros((0, 2), np.uint64)
     if len(got) != size or (size and part["sum"][0].as_py() != check):
-        raise RuntimeError("the documents were read in other partitions than before; write them as a table first")
+        raise RuntimeError("a chunk's totals aren't those that it asked for")
     return got.astype(np.int64)
 
 
@@ -252,13 +301,12 @@ def _histogram(tokens: int, deleted: int):
     return run
 
 
-def _fold_tokens(begin: int, limit: int):
+def _fold_tokens(begin: int):
     """The deleted fold's tokens as places in their chunk's words and pairs."""
     schema = pa.schema([("chunk", pa.int64()), ("sum", pa.int64()), ("n_words", pa.int64()), ("n_pairs", pa.int64()), ("begin", pa.int64()), ("word", pa.binary()), ("pair", pa.binary()), ("context", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, held in numbered(batches, limit):
-            chunk = chunk_of(held)
+        for number, chunk in numbered(batches):
             mine = chunk.fold[chunk.row] == 2
             if mine.any():
                 lists = [x[mine].astype(np.int32).tobytes() for x in (chunk.word_at, chunk.pair_at, chunk.context_at)]
@@ -269,24 +317,6 @@ def _fold_tokens(begin: int, limit: int):
 
 
 # ------------------------------------------------------------------ scores
-def _pack(limit: int):
-    """Each chunk as one compressed row."""
-    schema = pa.schema([("chunk", pa.int64()), ("rows", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for number, held in numbered(batches, limit):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema) as out:
-                for batch in held:
-                    out.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([squeeze.compress(sink.getvalue())], pa.binary())], schema=schema)
-
-    return run
-
-
 def token_scores(word: np.ndarray, pair: np.ndarray, context: np.ndarray, tokens: int, vocabulary: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log10 of each token under the base and under the mixture, from its counts."""
     base = np.log10((word + 0.5) / (tokens + 0.5 * (vocabulary + 1)))
@@ -297,12 +327,9 @@ def token_scores(word: np.ndarray, pair: np.ndarray, context: np.ndarray, tokens
 
 def _scorer(tokens: int, vocabulary: int, begin: int, weights: np.ndarray, out_schema: pa.Schema):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        import zstandard
-
         done = []
         for r in range(left.num_rows):
-            raw = zstandard.ZstdDecompressor().decompress(left["rows"][r].as_py())
-            chunk = chunk_of(list(pa.ipc.open_stream(raw)))
+            chunk = unpacked(left["rows"][r].as_py())
             check = chunk.checksum()
             w = _totals(right, 0, len(chunk.words), check)[:, 0]
             p = _totals(right, 1, len(chunk.pairs), check)[:, 0]
@@ -322,17 +349,19 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     kept = docs.select(docs["doc_id"], fold_of(docs["doc_id"]).alias("fold"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    ranges_log2 = max(1, (partitions_for(spark, kept, RANGE_MB) - 1).bit_length())
-    limit = chunk_bytes(int(str(kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
-    asked = kept.mapInArrow(_ask(ranges_log2, limit), "range int, kind int, chunk long, sum long, hashes binary, counts binary")
-    got = scratch.save(asked.groupBy("range").applyInArrow(_sum_range, "chunk long, kind int, range int, sum long, counts binary, vocabulary long, tokens long, deleted long"), "counts")
+    size = int(str(kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges_log2 = max(1, (max(least, min(MOST_RANGES, size // (RANGE_MB << 20))) - 1).bit_length())
+    chunks = scratch.save(kept.mapInArrow(_pack(chunk_bytes(size)), "chunk long, rows binary"), "chunks")
+    asked = chunks.mapInArrow(_ask(ranges_log2), "range int, kind int, chunk long, sum long, hashes binary, counts binary")
+    got = scratch.save(asked.groupBy("range").applyInArrow(_sum_range, "chunk long, kind int, range int, slice int, sum long, counts binary, vocabulary long, tokens long, deleted long"), "counts")
     by_fold = {r["fold"]: r["n"] for r in kept.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}  # three rows
     size = got.agg(F.sum("vocabulary").alias("v"), F.sum("tokens").alias("n"), F.sum("deleted").alias("d")).first()
     vocabulary, tokens, deleted = (size[c] or 0 for c in "vnd")
-    answers = got.select("chunk", "kind", "range", "sum", "counts")
+    answers = got.select("chunk", "kind", "range", "slice", "sum", "counts")
     begin, begin_deleted = by_fold.get(0, 0) + by_fold.get(2, 0), by_fold.get(2, 0)
 
-    fold = kept.mapInArrow(_fold_tokens(begin - begin_deleted, limit), "chunk long, sum long, n_words long, n_pairs long, begin long, word binary, pair binary, context binary")
+    fold = chunks.mapInArrow(_fold_tokens(begin - begin_deleted), "chunk long, sum long, n_words long, n_pairs long, begin long, word binary, pair binary, context binary")
     cells = fold.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_histogram(tokens, deleted), "code long, n long")
     cells = cells.groupBy("code").agg(F.sum("n").alias("n")).collect()  # BINS * BINS * CONTEXT_BUCKETS rows at most
     weights = learn_weights(sorted((c["code"] // BINS**2, c["code"] // BINS % BINS, c["code"] % BINS, c["n"]) for c in cells), 1 / (vocabulary + 1))
@@ -342,5 +371,4 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = pa.schema([("doc_id", to_arrow_type(kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    packed = kept.mapInArrow(_pack(limit), "chunk long, rows binary")
-    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scorer(tokens, vocabulary, begin, weights, arrow), f"doc_id {kind.simpleString()}, {fields}")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scorer(tokens, vocabulary, begin, weights, arrow), f"doc_id {kind.simpleString()}, {fields}")
