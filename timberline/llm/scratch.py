@@ -16,16 +16,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder of the session; one is set only where none is named."""
+    """The shared folder of the session. Only a session of a single machine, such as
+    the tests', may go without one and gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("spark.timberline.scratch.dir", None)
-    if not root:  # single-machine sessions such as the tests
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         root = "file://" + tempfile.mkdtemp(prefix="timberline-")
         spark.conf.set("spark.timberline.scratch.dir", root)
     return root.rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The URI that Spark understands by ``path``: one without a scheme lies in the
+    cluster's default file system."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toUri()
+    return f"file://{uri.getPath()}" if uri.getScheme() == "file" else str(uri.toString())
+
+
 class Scratch:
     """One folder of written tables for one run of one operator."""
 
@@ -55,12 +67,3 @@ class Scratch:
         p = jvm.org.apache.hadoop.fs.Path(path)
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         p.getFileSystem(conf).delete(p, True)
-
-
-def partitions_for(spark: SparkSession, df: DataFrame, mb_each: int = 32) -> int:
-    """Shuffle partitions for a wide exchange of ``df``: the session's number, or
-    more where the optimizer's size estimate says that a partition would hold
-    more than ``mb_each`` megabytes."""
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, min(200_000, size // (mb_each << 20)))

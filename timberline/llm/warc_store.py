@@ -12,12 +12,15 @@ once, under the largest page id; the others are revisits. Which payloads repeat
 is found from digests alone, so no page is moved for it, and a payload that a
 third of all pages share is counted before it is shuffled.
 
-Files are opened through ``pyarrow.fs`` by the URI of the shared folder.
+Files are opened through ``pyarrow.fs`` by the URI of the shared folder, which is
+the one that Spark resolves: a folder without a scheme lies in the default file
+system of the cluster.
 
 Defined cases: a null html is an empty payload; a null page id is written as an
 empty id and read back as null, and refers to no page; repeated rows are records
 of their own (rows that repeat the page id of a response are responses too);
-payloads longer than a block are streamed in blocks by zlib; an empty table gives
+payloads pass writer, normaliser and reader in blocks, so none of them holds a
+copy of a very long one (the row itself is held once); an empty table gives
 no archive and an empty result; other columns aren't read.
 """
 
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timberline.llm.scratch import Scratch
+from timberline.llm.scratch import Scratch, qualified
 from timberline.llm.textkit import slices
 
 MIN_REVISIT = 1000
@@ -47,7 +50,7 @@ RECORD_FIELDS = "page_id long, payload_bytes long, payload_digest string, record
 
 
 # ---------------------------------------------------------------- records
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record_blocks(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> Iterator[bytes]:
     """One WARC record; ``refers_to`` makes it a revisit without a payload."""
     digest = base64.b32encode(hashlib.sha1(payload).digest())
     ident = "" if page_id is None else str(page_id)
@@ -65,7 +68,11 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to
         head.append(b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         payload = b""
     head.append(b"Content-Length: %d" % len(payload))
-    return b"\r\n".join(head) + b"\r\n\r\n" + payload + b"\r\n\r\n"
+    yield b"\r\n".join(head) + b"\r\n\r\n"
+    view = memoryview(payload)
+    for k in range(0, len(payload), BLOCK):
+        yield view[k : k + BLOCK]
+    yield b"\r\n\r\n"
 
 
 def parse_head(head: bytes) -> dict[bytes, bytes]:
@@ -80,14 +87,18 @@ def page_of(urn: bytes | None) -> int | None:
     return int(digits) if digits else None
 
 
-def read_record(raw: bytes) -> dict:
+def read_record(blocks: Iterator[bytes]) -> dict:
     """Fields of one inflated record; the digest is checked against the payload."""
-    head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = parse_head(head)
-    payload = rest[: int(fields[b"content-length"])]
+    hashed = hashlib.sha1()
+    fields: dict[bytes, bytes] = {}
+    for kind, block in record_events(blocks):
+        if kind == "head":
+            fields = parse_head(block)
+        elif kind == "payload":
+            hashed.update(block)
     digest = base64.b32decode(fields[b"warc-payload-digest"].removeprefix(b"sha1:"))
     kind = fields[b"warc-type"].decode()
-    if kind == "response" and hashlib.sha1(payload).digest() != digest:
+    if kind == "response" and hashed.digest() != digest:
         raise ValueError(f"payload digest differs in {fields[b'warc-record-id']!r}")
     return {
         "page_id": page_of(fields[b"warc-record-id"]),
@@ -99,57 +110,77 @@ def read_record(raw: bytes) -> dict:
 
 
 # ------------------------------------------------------------- gzip streams
-def inflated(source, block: int = BLOCK) -> Iterator[bytes]:
-    """The bytes of a gzip file of one or more members, in blocks."""
+def inflated(source, block: int = BLOCK, most: int | None = None) -> Iterator[bytes]:
+    """The bytes of a gzip file of one or more members, or of its next ``most``
+    bytes, in blocks of at most ``block``."""
     engine = zlib.decompressobj(_GZIP)
-    while chunk := source.read(block):
+    while chunk := source.read(block if most is None else min(block, most)):
+        most = None if most is None else most - len(chunk)
         while chunk:
-            yield engine.decompress(chunk)
-            chunk = b""
+            yield engine.decompress(chunk, block)
+            chunk = engine.unconsumed_tail
             if engine.eof:
                 chunk = engine.unused_data
                 engine = zlib.decompressobj(_GZIP)
     yield engine.flush()
 
 
-def split_records(blocks: Iterator[bytes]) -> Iterator[bytes]:
-    """Whole records of an inflated stream, holding one record at a time."""
+def record_events(blocks: Iterator[bytes]) -> Iterator[tuple[str, bytes]]:
+    """The records of an inflated stream as they pass: ("head", its lines),
+    ("payload", a block of it) any number of times, and ("end", b"")."""
     have = bytearray()
-    need = None  # bytes of the record that is being gathered
+    left = -1  # bytes of the payload that are to come; -1 outside a record
     for block in blocks:
         have += block
         while True:
-            if need is None:
+            if left < 0:
                 end = have.find(b"\r\n\r\n")
                 if end < 0:
                     break
-                need = end + 8 + int(parse_head(bytes(have[:end]))[b"content-length"])
-            if len(have) < need:
+                head = bytes(have[:end])
+                del have[: end + 4]
+                left = int(parse_head(head)[b"content-length"])
+                yield "head", head
+            if left and have:
+                part = bytes(have[:left])
+                del have[: len(part)]
+                left -= len(part)
+                yield "payload", part
+            if left or len(have) < 4:
                 break
-            yield bytes(have[:need])
-            del have[:need]
-            need = None
-    if have:
+            if have[:4] != b"\r\n\r\n":
+                raise ValueError("a record is longer than its head says")
+            del have[:4]
+            left = -1
+            yield "end", b""
+    if have or left >= 0:
         raise ValueError("the archive ends within a record")
 
 
 def normalise_archive(source, target) -> Iterator[dict]:
     """Rewrite the records of ``source`` as members of ``target``; yields the index."""
-    offset = 0
-    for position, raw in enumerate(split_records(inflated(source))):
-        engine = zlib.compressobj(LEVEL, zlib.DEFLATED, _GZIP)
-        member = engine.compress(raw) + engine.flush()
-        target.write(member)
-        fields = parse_head(raw[: raw.index(b"\r\n\r\n")])
-        yield {"position": position, "offset": offset, "length": len(member), "record_id": fields[b"warc-record-id"].decode(), "record_type": fields[b"warc-type"].decode()}
-        offset += len(member)
-
-
-def read_members(source, entries: list[tuple[int, int]]) -> Iterator[bytes]:
-    """Records at the given offsets and lengths."""
+    offset = position = length = 0
+    fields: dict[bytes, bytes] = {}
+    engine = None
+    for kind, block in record_events(inflated(source)):
+        if kind == "head":
+            fields, length = parse_head(block), 0
+            engine = zlib.compressobj(LEVEL, zlib.DEFLATED, _GZIP)
+            block += b"\r\n\r\n"
+        packed = engine.compress(block) if kind != "end" else engine.compress(b"\r\n\r\n") + engine.flush()
+        target.write(packed)
+        length += len(packed)
+        if kind == "end":
+            yield {"position": position, "offset": offset, "length": length, "record_id": fields[b"warc-record-id"].decode(), "record_type": fields[b"warc-type"].decode()}
+            offset, position = offset + length, position + 1
+
+
+def read_members(source, entries: list[tuple[int, int]]) -> Iterator[Iterator[bytes]]:
+    """The blocks of each record at the given offsets and lengths; a record is to be
+    read before the next."""
     for offset, length in entries:
         source.seek(offset)
-        yield zlib.decompress(source.read(length), _GZIP)
+        yield inflated(source, most=length)
 
 
 # ------------------------------------------------------------------ Spark
@@ -189,7 +220,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 system.create_dir(path, recursive=True)
                 out = system.open_output_stream(mine)
             for row in batch.to_pylist():
-                out.write(engine.compress(record_bytes(row["page_id"], row["url"], row["html"].encode(), row["refers_to"])))
+                for block in record_blocks(row["page_id"], row["url"], row["html"].encode(), row["refers_to"]):
+                    out.write(engine.compress(block))
                 n += 1
         if out is not None:
             out.write(engine.flush())
@@ -269,9 +301,7 @@ def warc_round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` as archives, normalise them, and read every record back."""
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
-    folder = f"{scratch.path}/archives"
-    if "://" not in folder:
-        folder = folder.replace("file:", "file://") if folder.startswith("file:") else f"file://{folder}"
+    folder = qualified(spark, f"{scratch.path}/archives")
     archives = scratch.save(write_archives(with_revisits(pages, scratch), folder), "written")
     tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), archives.count()))
     index = scratch.save(normalise(archives.repartition(tasks, "archive"), folder, remove=True), "index")
