@@ -284,12 +284,13 @@ def test_lm_score_equals_brute_force(spark, monkeypatch):
 @pytest.mark.parametrize("entries", [20, 100, 1000])
 def test_lm_totals_pass_32_bits_in_slices(monkeypatch, entries):
     monkeypatch.setattr(lm_score, "SLICE_ENTRIES", entries)
-    h = np.arange(1, 100, dtype=np.uint64)
+    h = np.sort(np.random.default_rng(3).integers((1 << 64) - (1 << 62), 1 << 64, 99, dtype=np.uint64, endpoint=False))
     many = np.full((99, 2), 2**32 - 1, np.uint32)
-    rows = [(0, 0, k, 7, lm_score.planes(h), lm_score.planes(many.reshape(-1))) for k in range(3)]
+    rows = [(3, 0, k, 7, lm_score.planes(h), lm_score.planes(many.reshape(-1))) for k in range(3)]
     table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), lm_score._ASK)], schema=lm_score._ASK)
-    summed = lm_score._sum_range(table)
+    summed = lm_score._sum_range(2)(table)
     assert (lm_score._totals(summed.filter(pa.compute.equal(summed["chunk"], 1)), 0, 99, 7) == 3 * (2**32 - 1)).all()
+    assert len(set(summed["slice"].to_pylist())) == max(1, -(-297 // entries))
 
 
 def test_lm_mixture_sums_to_one_and_em_improves():

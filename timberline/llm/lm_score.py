@@ -190,43 +190,47 @@ def _ask(ranges_log2: int):
     return run
 
 
-def _sum_range(table: pa.Table) -> pa.Table:
+def _sum_range(ranges_log2: int):
     """Totals of one range, handed back to each asking chunk in its own order. The
     range is summed in slices of about ``SLICE_ENTRIES`` entries."""
-    out = []
-    for kind in (0, 1):
-        part = table.filter(pa.compute.equal(table["kind"], kind))
-        if not part.num_rows:
-            continue
-        edges = _slice_edges(part["hashes"])
-        for nth, (low, high) in enumerate(zip(edges[:-1], edges[1:])):
-            hashes, counts = [], []
-            for packed, counted in zip(part["hashes"], part["counts"]):
-                mine = unplanes(packed.as_py(), np.uint64)
-                i, j = (int(x) for x in np.searchsorted(mine, np.array([low, high], U)))
-                j = len(mine) if nth == len(edges) - 2 else j
-                hashes.append(mine[i:j].copy())
-                counts.append(unplanes(counted.as_py(), np.uint32).reshape(-1, 2)[i:j].copy())
-            sizes = [len(h) for h in hashes]
-            distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
-            del hashes
-            counts = np.concatenate(counts)
-            total = np.stack([np.bincount(at, counts[:, k], len(distinct)) for k in (0, 1)], 1).astype(np.uint64)  # doubles count exactly up to 2 ** 53
-            for r, (end, size) in enumerate(zip(np.cumsum(sizes), sizes)):
-                known = (int((total[:, 0] > 0).sum()), *(int(x) for x in total.sum(0))) if kind == 0 and r == 0 else (0, 0, 0)
-                out.append((part["chunk"][r].as_py(), kind, part["range"][r].as_py(), nth, part["sum"][r].as_py(), planes(total[at[end - size : end]].reshape(-1)), *known))
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _GOT)], schema=_GOT)
-
-
-def _slice_edges(packed: pa.ChunkedArray) -> list[int]:
-    """Hashes that cut a range into slices: the ranges are cut by the upper bits, so
-    the hashes of one lie evenly between its least and its largest."""
-    number, least, most = 0, (1 << 64) - 1, 0
-    for p in packed:
-        mine = unplanes(p.as_py(), np.uint64)
-        number, least, most = number + len(mine), min(least, int(mine[0])), max(most, int(mine[-1]))
-    n = max(1, -(-number // SLICE_ENTRIES))
-    return [least + (most - least) * k // n for k in range(n)] + [most]
+
+    def run(table: pa.Table) -> pa.Table:
+        out = []
+        for kind in (0, 1):
+            part = table.filter(pa.compute.equal(table["kind"], kind))
+            if not part.num_rows:
+                continue
+            edges = _slice_edges(part["hashes"], part["range"][0].as_py(), ranges_log2)
+            for nth, (low, high) in enumerate(zip(edges[:-1], edges[1:])):
+                hashes, counts = [], []
+                for packed, counted in zip(part["hashes"], part["counts"]):
+                    h, c = unplanes(packed.as_py(), np.uint64), unplanes(counted.as_py(), np.uint32).reshape(-1, 2)
+                    if len(edges) > 2:
+                        mine = slice(int(np.searchsorted(h, U(low))), int(np.searchsorted(h, U(high - 1), "right")))
+                        h, c = h[mine].copy(), c[mine].copy()
+                    hashes.append(h)
+                    counts.append(c)
+                sizes = [len(h) for h in hashes]
+                distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
+                del hashes
+                counts = np.concatenate(counts)
+                total = np.stack([np.bincount(at, counts[:, k], len(distinct)) for k in (0, 1)], 1).astype(np.uint64)  # doubles count exactly up to 2 ** 53
+                del counts
+                for r, (end, size) in enumerate(zip(np.cumsum(sizes), sizes)):
+                    known = (int((total[:, 0] > 0).sum()), *(int(x) for x in total.sum(0))) if kind == 0 and r == 0 else (0, 0, 0)
+                    out.append((part["chunk"][r].as_py(), kind, part["range"][r].as_py(), nth, part["sum"][r].as_py(), planes(total[at[end - size : end]].reshape(-1)), *known))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _GOT)], schema=_GOT)
+
+    return run
+
+
+def _slice_edges(packed: pa.ChunkedArray, nth: int, ranges_log2: int) -> list[int]:
+    """Hashes that cut the range ``nth`` evenly into slices."""
+    import zstandard
+
+    entries = sum(zstandard.frame_content_size(p.as_py()) for p in packed) // 8
+    n, wide = max(1, -(-entries // SLICE_ENTRIES)), 1 << (64 - ranges_log2)
+    return [nth * wide + wide * k // n for k in range(n + 1)]
 
 
 def _totals(table: pa.Table, kind: int, size: int, check: int) -> np.ndarray:
@@ -354,7 +358,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     ranges_log2 = max(1, (max(least, min(MOST_RANGES, size // (RANGE_MB << 20))) - 1).bit_length())
     chunks = scratch.save(kept.mapInArrow(_pack(chunk_bytes(size)), "chunk long, rows binary"), "chunks")
     asked = chunks.mapInArrow(_ask(ranges_log2), "range int, kind int, chunk long, sum long, hashes binary, counts binary")
-    got = scratch.save(asked.groupBy("range").applyInArrow(_sum_range, "chunk long, kind int, range int, slice int, sum long, counts binary, vocabulary long, tokens long, deleted long"), "counts")
+    got = scratch.save(asked.groupBy("range").applyInArrow(_sum_range(ranges_log2), "chunk long, kind int, range int, slice int, sum long, counts binary, vocabulary long, tokens long, deleted long"), "counts")
     by_fold = {r["fold"]: r["n"] for r in kept.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}  # three rows
     size = got.agg(F.sum("vocabulary").alias("v"), F.sum("tokens").alias("n"), F.sum("deleted").alias("d")).first()
     vocabulary, tokens, deleted = (size[c] or 0 for c in "vnd")
