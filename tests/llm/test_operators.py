@@ -400,6 +400,41 @@ def test_short_items_hide_no_misses_of_long_ones(monkeypatch):
     assert min(recall_of_edited_copies(items, (20, 55)).values()) == 1.0
 
 
+def least_edits(item, text):
+    """Edit distance of the item to the nearest part of the text, by the full table."""
+    row = [0] * (len(text) + 1)
+    for i, w in enumerate(item, 1):
+        new = [i]
+        for j, x in enumerate(text):
+            new.append(min(row[j] + (w != x), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+@pytest.mark.parametrize("part", [1 << 18, 5])
+def test_items_equal_an_exhaustive_search(monkeypatch, part):
+    monkeypatch.setattr(decontaminate, "PART_WINDOWS", part)
+    rng = random.Random(28)
+    common = prose(rng, 6)
+    items = [prose(rng, rng.randint(1, 45)) for _ in range(25)] + [f"{common} {prose(rng, 20)}" for _ in range(15)]
+    texts = ["", "one", common, prose(rng, 60)]
+    for k in range(80):
+        w = rng.choice(items).split()
+        for i in sorted(rng.sample(range(len(w)), min(len(w), rng.randint(0, int(0.3 * len(w)) + 1))), reverse=True):
+            w[i : i + 1] = rng.choice([["edited"], [], [w[i], "inserted"]])
+        texts.append(f"{prose(rng, rng.randint(0, 20))} {' '.join(w)} {common} {prose(rng, rng.randint(0, 20))}")
+    made = decontaminate.prepare(list(range(len(items))), items)
+    got = {(r, made.ids[i].as_py()): d for r, i, _, _, d in decontaminate.find(item_words(texts), made)}
+    want = {}
+    for r, t in enumerate(texts):
+        for i, item in enumerate(items):
+            d = least_edits(item.split(), t.split())
+            if d <= decontaminate.edits_allowed(len(item.split())):
+                want[r, i] = d
+    assert set(got) <= set(want) and all(want[k] <= d for k, d in got.items())
+    assert len(want) > 60 and len(got) >= 0.98 * len(want)
+
+
 def test_items_without_an_id_are_found(spark):
     rng = random.Random(17)
     item, other = prose(rng, 20), prose(rng, 25)

@@ -52,6 +52,7 @@ TRIALS = 1000  # edited copies of a class at least
 TRIAL_WINDOWS = 8  # of a copy, those with the most runs; fewer never overstate the recall
 BLOCK_BYTES = 16 << 20
 SEED_WORDS = 3
+PART_WINDOWS = 1 << 18
 
 WORD_BREAKS = np.array([not (c >= 0x80 or 0x30 <= c <= 0x39 or 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A) for c in range(256)])
 _PAD = U(0x5851F42D4C957F2D)
@@ -222,14 +223,11 @@ def distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, i
     return int(cost[end]), int(origin[end]), end
 
 
-def find(words: Words, items: Items) -> list[tuple[int, int, int, int, int]]:
-    """(row, item, first word, words, edits): the best place of each item in each row."""
-    hashed = words.hashes()
-    n = len(hashed)
-    if not n or not len(items.ids):
-        return []
-    rows, owners, starts = [], [], []
-    row_of = words.row_of()
+def _windows(words: Words, hashed: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """row, item and first word of the windows that a seed places, in parts of about
+    ``PART_WINDOWS``: a run of words that very many items share is taken item by
+    item, so a part is never larger than that and the items of a block."""
+    n, row_of = len(hashed), words.row_of()
     for q, (seed, item, offset) in items.seeds.items():
         if n < q:
             continue
@@ -238,47 +236,50 @@ def find(words: Words, items: Items) -> list[tuple[int, int, int, int, int]]:
         gate[seed >> U(46)] = True
         near = np.flatnonzero(gate[gram >> U(46)])
         low, high = np.searchsorted(seed, gram[near], "left"), np.searchsorted(seed, gram[near], "right")
-        keep = high > low
+        keep = (high > low) & (row_of[near] == row_of[np.minimum(near + q - 1, n - 1)])
         near, low, number = near[keep], low[keep], (high - low)[keep]
-        place = np.repeat(near, number)
-        k = np.repeat(low, number) + np.arange(len(place)) - np.repeat(np.cumsum(number) - number, number)
-        same = row_of[place] == row_of[np.minimum(place + q - 1, n - 1)]
-        place, k = place[same], k[same]
-        rows.append(row_of[place])
-        owners.append(item[k])
-        starts.append(place - offset[k])
-    if not rows:  # fewer words than any item's seed
-        return []
-    row, item, start = np.concatenate(rows), np.concatenate(owners), np.concatenate(starts)
-    if not len(row):
-        return []
-    order = np.lexsort((start, item, row))
-    row, item, start = row[order], item[order], start[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (start[1:] != start[:-1])
-    row, item, start = row[new], item[new], start[new]
-    left, right = words.first[:-1][row], words.first[1:][row]
-    begin, stop = np.maximum(start, left), np.minimum(start + items.size[item], right)
-    chosen = [np.flatnonzero(items.repeats[item] == 0)]
-    waiting = np.arange(len(row))
-    for r in range(len(items.keys)):
-        waiting = waiting[items.repeats[item[waiting]] > r]
-        key = embed(hashed, begin[waiting].copy(), stop[waiting], r, items.steps[r][item[waiting]])
-        hit = key == items.keys[r][item[waiting]]
-        chosen.append(waiting[hit])
-        waiting = waiting[~hit]
+        part = np.cumsum(number) // PART_WINDOWS
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(near)]])
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            each = number[x:y]
+            place = np.repeat(near[x:y], each)
+            k = np.repeat(low[x:y], each) + np.arange(len(place)) - np.repeat(np.cumsum(each) - each, each)
+            row, owner, start = row_of[place], item[k], place - offset[k]
+            order = np.lexsort((start, owner, row))
+            row, owner, start = row[order], owner[order], start[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (owner[1:] != owner[:-1]) | (start[1:] != start[:-1])
+            yield row[new], owner[new], start[new]
+
+
+def find(words: Words, items: Items) -> list[tuple[int, int, int, int, int]]:
+    """(row, item, first word, words, edits): the best place of each item in each row."""
+    hashed = words.hashes()
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for c in np.sort(np.concatenate(chosen)).tolist():
-        i, r = int(item[c]), int(row[c])
-        size = int(items.size[i])
-        most = edits_allowed(size)
-        known = best.get((r, i))
-        if known and known[0] == 0:
-            continue
-        a, b = max(int(left[c]), int(start[c]) - most), min(int(right[c]), int(start[c]) + size + most)
-        d, x, y = distance(items.words[items.first[i] : items.first[i + 1]], hashed[a:b], most)
-        if d <= most and (known is None or (d, a + x) < known[:2]):
-            best[r, i] = d, a + x, y - x
+    if not len(hashed) or not len(items.ids):
+        return []
+    for row, item, start in _windows(words, hashed, items):
+        left, right = words.first[:-1][row], words.first[1:][row]
+        begin, stop = np.maximum(start, left), np.minimum(start + items.size[item], right)
+        chosen = [np.flatnonzero(items.repeats[item] == 0)]
+        waiting = np.arange(len(row))
+        for r in range(len(items.keys)):
+            waiting = waiting[items.repeats[item[waiting]] > r]
+            key = embed(hashed, begin[waiting].copy(), stop[waiting], r, items.steps[r][item[waiting]])
+            hit = key == items.keys[r][item[waiting]]
+            chosen.append(waiting[hit])
+            waiting = waiting[~hit]
+        for c in np.sort(np.concatenate(chosen)).tolist():
+            i, r = int(item[c]), int(row[c])
+            size = int(items.size[i])
+            most = edits_allowed(size)
+            known = best.get((r, i))
+            if known and known[0] == 0:
+                continue
+            a, b = max(int(left[c]), int(start[c]) - most), min(int(right[c]), int(start[c]) + size + most)
+            d, x, y = distance(items.words[items.first[i] : items.first[i + 1]], hashed[a:b], most)
+            if d <= most and (known is None or (d, a + x) < known[:2]):
+                best[r, i] = d, a + x, y - x
     return [(r, i, at - int(words.first[r]), size, d) for (r, i), (d, at, size) in sorted(best.items())]
 
 
