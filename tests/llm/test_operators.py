@@ -106,7 +106,9 @@ def test_license_scan(spark, odd):
 # ------------------------------------------------------------------- vectors
 @pytest.mark.parametrize("factor,least", [(1.0, 1.0), (1.5, 0.9)])
 def test_nearest(spark, monkeypatch, factor, least):
-    monkeypatch.setattr(vp_search, "SHARD_ROWS", 300)
+    monkeypatch.setattr(vp_search, "LEAST_ROWS", 50)
+    monkeypatch.setattr(vp_search, "MOST_ROWS", 50)
+    monkeypatch.setattr(vp_search, "STREAM_ROWS", 7)  # shards of several tasks
     rng = np.random.default_rng(5)
     x = rng.normal(size=(900, 8)).astype(np.float32)
     x[100:160] = x[100]  # a common vector
@@ -125,6 +127,27 @@ def test_nearest(spark, monkeypatch, factor, least):
             assert mine == want and [s for _, _, s in sorted(got[q])] == [score[i] for i in want]
     assert found / total >= least and len(got) == 45
     assert vp_search.vp_search(df.limit(0), df.limit(0)).count() == 0
+    asked = df.where("vec_id % 20 = 0")
+    assert vp_search.vp_search(df, asked.union(asked), 20, factor).count() == 45 * 20 and vp_search.vp_search(df.limit(5), df.limit(3)).count() == 12
+
+
+def test_cells_that_cannot_be_nearer_are_not_visited():
+    """Of clustered vectors few cells are visited, and the bound never exceeds the truth."""
+    rng = np.random.default_rng(29)
+    centre = rng.normal(size=(40, 16)) * 5
+    x = centre[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * 0.1
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    norm = float((x**2).sum(1).max()) ** 0.5
+    cells = vp_search.Cells.of(x[:1000], 16, norm)
+    cell, d = cells.place(vp_search.further(x, norm))
+    bounds = {int(c): np.stack([d[cell == c].min(0), d[cell == c].max(0)], 1) for c in np.unique(cell)}
+    q, _ = vp_search.asked_points(x[:50], norm)
+    low = cells.least_distance(q, bounds)
+    true = np.sqrt(((q[:, None, :] - vp_search.further(x, norm)[None]) ** 2).sum(2))
+    for c in bounds:
+        assert (low[:, c] <= true[:, cell == c].min(1) + 1e-6).all()
+    tau = np.sort(true, 1)[:, 20]
+    assert len(bounds) >= 8 and (low[:, sorted(bounds)] <= tau[:, None]).mean() < 0.5
 
 
 @pytest.mark.parametrize("rows_by,query_by", [(1.0, 1e-12), (1e-7, 1e-7), (1e5, 1e5), (1.0, 1e9)])
