@@ -67,3 +67,15 @@ def test_redaction_equals_the_whole_chain(spark):
     for pattern, to in redact.STEPS:
         chain = F.regexp_replace(chain, F.lit(mask.unicode(pattern)), F.lit(to))
     assert rows.where(~redact.redact(F.col("t")).eqNullSafe(chain)).count() == 0
+
+
+def test_queries_group_by_and_before_or():
+    from timberline.plans.fulltext import Bool, Term, parse, terms
+
+    a, b, c = (Term((x,)) for x in "abc")
+    assert parse("a AND b OR c") == Bool(should=(Bool(must=(a, b)), c)) and parse("a OR b AND c") == Bool(should=(a, Bool(must=(b, c))))
+    assert parse("a AND NOT b") == Bool(should=(Bool(must=(a,), must_not=(b,)),)) and parse("+a -b c") == Bool((a,), (c,), (b,))
+    assert terms(parse("(a^2 OR b c)^3 -d a")) == {"a": 7.0, "b": 3.0, "c": 3.0}
+    for bad in ("nofield:x", "(a", "a)", '"open', "[1 TO 2]"):
+        with pytest.raises(ValueError):
+            parse(bad)
