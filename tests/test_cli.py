@@ -3,6 +3,7 @@ from __future__ import annotations
 import io
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,3 +175,47 @@ def test_ranges_of_a_growing_file(tmp_path):
     got = [x for r in tail.ranges(str(path), 0, end, 16) for x in tail.read_range(r)]
     assert [line for _, _, line in got] == ["one line", "another " + "x" * 50, "open"]
     assert os.path.getsize(path) > end
+
+
+def test_a_stream_holds_the_open_event_and_bounds_its_batches(spark, tmp_path):
+    from timberline.streaming.watch import watch
+
+    def until(wanted, seconds=60):
+        end = time.monotonic() + seconds
+        while time.monotonic() < end:
+            query.processAllAvailable()
+            got = sorted(r.message for r in log.read().select("message").collect())
+            if got == sorted(wanted):
+                return
+            time.sleep(0.3)
+        raise AssertionError((got, wanted))
+
+    path, log = tmp_path / "a.log", table.LogTable(spark, str(tmp_path / "t"))
+    path.write_text("TypeError: lost\n  at f (a.js:1:2)\n")
+    query = watch(spark, str(path), log, str(tmp_path / "c"), NOW_MS, interval="200 milliseconds", batch_bytes=60, quiet_ms=3_600_000)
+    try:
+        until([])
+        with path.open("a") as f:
+            f.write("  at g (b.js:3:4)\nnext\n")
+        until(["TypeError: lost\n  at f (a.js:1:2)\n  at g (b.js:3:4)"])
+        with path.open("a") as f:
+            f.write("".join(f"line {k} of many\n" for k in range(20)) + "\n")
+        whole = ["TypeError: lost\n  at f (a.js:1:2)\n  at g (b.js:3:4)", "next", *(f"line {k} of many" for k in range(20))]
+        until(whole)
+        assert max(p["numInputRows"] for p in map(dict, query.recentProgress)) <= 20  # each line is read a few times in a batch
+    finally:
+        query.stop()
+    with path.open("a") as f:
+        f.write("after a restart\n\n")
+    query = watch(spark, str(path), log, str(tmp_path / "c"), NOW_MS, interval="200 milliseconds", batch_bytes=60, quiet_ms=3_600_000)
+    try:
+        until([*whole, "after a restart"])
+    finally:
+        query.stop()
+
+
+def test_where_the_open_event_begins(tmp_path):
+    path = tmp_path / "a.log"
+    for text, begin in (("a\nb\n", 2), ("a\n  b\n", 0), ("a\n\n", 3), ("a\n\n  b\n", 3), ("x\n error: b\n", 2), ("x\nCaused by y\n", 0), ("", 0)):
+        path.write_text(text)
+        assert tail.open_event(str(path), 0, len(text)) == begin, text

@@ -38,6 +38,13 @@ def discover(project: str, base: str, configured: list[tuple[str, str]] = (), tr
 
 def shared_folder(spark: SparkSession) -> str:
     """A mounted folder that driver and executors share: that of
-    ``spark.checkpoint.dir``; a folder of this machine only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return urlsplit(named).path.rstrip("/") if named else tempfile.mkdtemp(prefix="timberline-")
+    ``spark.checkpoint.dir``; a folder of this machine only where none is set and
+    the session has no other machine. ValueError where there is no such folder."""
+    named = urlsplit(spark.conf.get("spark.checkpoint.dir", None) or "")
+    if named.scheme not in ("", "file"):
+        raise ValueError(f"{named.geturl()} isn't a mounted folder; tables and journals need one")
+    if named.path:
+        return named.path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+    return tempfile.mkdtemp(prefix="timberline-")

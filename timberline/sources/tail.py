@@ -8,8 +8,13 @@ Rows: path, byte, line. Large files are read in ranges that begin after a line
 end, so one file spreads over tasks. The stream's offset is the size of each file
 with a hash of its head: a file that shrank, or whose head changed, is read again
 from its start. The head that is compared never reaches past what was read, so a
-small file that grows isn't taken for another. With ``hold`` the last line waits
-until it is ended.
+small file that grows isn't taken for another.
+
+With ``hold`` = ``line`` the last line waits until it is ended; with ``event`` the
+last event waits as well, until another begins or the file rests for
+``quietms``. With ``maxbytes`` the stream goes on by about that many bytes at a time:
+``progress`` names a small file in the checkpoint's folder that tells a restarted
+stream where it was. What is read twice after a loss is merged by identity.
 """
 
 from __future__ import annotations
@@ -18,11 +23,16 @@ import glob
 import hashlib
 import json
 import os
+import re
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from timberline.functions.text import ANSI
+from timberline.operators.coalesce import DIAGNOSTIC, MAX_BYTES, MAX_LINES
+
 #: Fixed value: bytes of a file's head that tell it from another.
 HEAD_BYTES = 4096
 RANGE_BYTES = 64 << 20
@@ -98,6 +108,33 @@ def last_line_end(path: str, start: int, size: int) -> int:
     return start
 
 
+_ANSI, _DIAGNOSTIC = re.compile(ANSI), re.compile(DIAGNOSTIC)
+
+
+def goes_on(line: str) -> bool:
+    """Whether a line that isn't blank continues the event above it."""
+    seen = _ANSI.sub("", line)
+    return seen.startswith("Caused by") or (seen[:1] in (" ", "\t") and not _DIAGNOSTIC.match(seen.strip()))
+
+
+def open_event(path: str, start: int, size: int) -> int:
+    """Where the event begins that the line before ``size`` belongs to; ``size`` where
+    a blank line has ended it. An event at its caps can't grow and isn't held."""
+    with open(path, "rb") as f:
+        begin = max(start, size - 2 * MAX_BYTES)
+        f.seek(begin)
+        lines = f.read(size - begin).splitlines(keepends=True)
+    at = size
+    for n, raw in enumerate(reversed(lines)):
+        line = raw.decode("utf-8", "replace")
+        if not _ANSI.sub("", line).strip() or n >= MAX_LINES or size - at >= MAX_BYTES:
+            return at if n else size
+        at -= len(raw)
+        if not goes_on(line):
+            return at
+    return at
+
+
 class TailReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
@@ -112,22 +149,60 @@ class TailReader(DataSourceReader):
         return read_range(partition) if partition is not None else iter(())
 
 
+def _line_end_after(path: str, at: int) -> int:
+    with open(path, "rb") as f:
+        f.seek(at)
+        f.readline()
+        return f.tell()
+
+
 class TailStreamReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.options = options
+        self.last: dict | None = None
 
     def initialOffset(self) -> dict:
         return {"files": {}}
 
     def latestOffset(self) -> dict:
-        files = {}
+        before, files, taken = self._progress(), {}, 0
+        most = int(self.options.get("maxbytes", 0))
         for path in paths_of(self.options):
-            size = os.path.getsize(path)
-            if self.options.get("hold", "false") == "true":
-                size = last_line_end(path, 0, size)
+            done, head = before.get(path, [0, ""])
+            if done and rotated(path, done, head):
+                done = 0
+            size = max(done, self._end(path))  # what was read isn't held back again
+            if most and size - done > most - taken:
+                room = done + most - taken
+                size = last_line_end(path, done, room)
+                if size == done and not taken:  # a line that is longer than a batch
+                    size = _line_end_after(path, room)
+            taken += size - done
             files[path] = [size, head_hash(path, size)]
+        self.last = files
         return {"files": files}
 
+    def _end(self, path: str) -> int:
+        now, hold = os.stat(path), self.options.get("hold", "")
+        if hold not in ("line", "event", "true"):
+            return now.st_size
+        end = last_line_end(path, 0, now.st_size)
+        quiet = time.time() * 1000 - now.st_mtime_ns / 1e6 >= int(self.options.get("quietms", 2000))
+        if hold != "event":
+            return end
+        return now.st_size if quiet else open_event(path, 0, end)
+
+    def _progress(self) -> dict:
+        """Where the stream is: what it last offered, or after a restart what it last
+        committed."""
+        if self.last is None:
+            try:
+                with open(self.options["progress"]) as f:
+                    self.last = json.load(f)
+            except (KeyError, OSError, ValueError):
+                self.last = {}
+        return self.last
+
     def partitions(self, start: dict, end: dict):
         out = []
         for path, (size, head) in end["files"].items():
@@ -140,7 +215,11 @@ class TailStreamReader(DataSourceStreamReader):
         return read_range(partition)
 
     def commit(self, end: dict) -> None:
-        pass
+        if "progress" in self.options:
+            own = f"{self.options['progress']}.{os.getpid()}"
+            with open(own, "w") as f:
+                json.dump(end["files"], f)
+            os.replace(own, self.options["progress"])
 
 
 class TailSource(DataSource):

@@ -19,13 +19,13 @@ from typing import TextIO
 from pyspark.sql import SparkSession
 
 from timberline.functions.text import ANSI
-from timberline.operators.coalesce import DIAGNOSTIC
 from timberline.project import Project, cursor, ingest_files
 from timberline.sources.discover import JOURNALS
+from timberline.sources.tail import goes_on
 
 # When new events are put into the table.
 EVERY_EVENTS, EVERY_SECONDS = 500, 1.0
-_ANSI, _DIAGNOSTIC = re.compile(ANSI), re.compile(DIAGNOSTIC)
+_ANSI = re.compile(ANSI)
 
 
 class OpenEvent:
@@ -36,12 +36,9 @@ class OpenEvent:
         self.events = 0
 
     def add(self, line: str, at: int) -> None:
-        seen = _ANSI.sub("", line)
-        if not seen.strip():
+        if not _ANSI.sub("", line).strip():
             self.start = None
-            return
-        goes_on = seen.startswith("Caused by") or (seen[0] in " \t" and not _DIAGNOSTIC.match(seen.strip()))
-        if self.start is None or not goes_on:
+        elif self.start is None or not goes_on(line):
             self.start, self.events = at, self.events + 1
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from urllib.parse import urlsplit
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,13 +14,22 @@ from timberline.streaming.table import LogTable
 
 #: Fixed value: how often files are looked at.
 INTERVAL = "2 seconds"
+#: Bytes that one batch of a running stream takes.
+BATCH_BYTES = 1 << 30
 
 
-def watch(spark: SparkSession, paths: str, table: LogTable, checkpoint: str, now_ms: int | None = None, once: bool = False, interval: str = INTERVAL):
+def watch(spark: SparkSession, paths: str, table: LogTable, checkpoint: str, now_ms: int | None = None, once: bool = False, interval: str = INTERVAL, batch_bytes: int = BATCH_BYTES, quiet_ms: int = 2000):
     """Start the stream. Reading is at least once and rows are merged by identity,
-    so the effect is exactly once. ``once`` reads what is there and ends."""
+    so the effect is exactly once. ``once`` reads what is there and ends. A running
+    stream takes ``batch_bytes`` at a time and holds back the event that may still
+    grow, until another begins or its file rests for ``quiet_ms``."""
     spark.dataSource.register(TailSource)
-    lines = spark.readStream.format("tail").option("paths", paths).load()
+    source = spark.readStream.format("tail").option("paths", paths)
+    if not once:
+        folder = urlsplit(checkpoint).path  # a mounted folder, as the table's
+        os.makedirs(folder, exist_ok=True)
+        source = source.option("hold", "event").option("quietms", quiet_ms).option("maxbytes", batch_bytes).option("progress", f"{folder}/tail-progress.json")
+    lines = source.load()
 
     def put(batch: DataFrame, _: int) -> None:
         now = F.lit(now_ms).cast("long") if now_ms is not None else F.unix_millis(F.current_timestamp())
