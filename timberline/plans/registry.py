@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.functions import mask, redact, stack, text, time
-from timberline.operators import coalesce, drain, ingest, learn, parse, upsert
+from timberline.operators import coalesce, ingest, parse, upsert
 from timberline.plans import aggregate, alert, search
 from timberline.plans.adapters import NOW_MS, document_lines, event_lines, event_logs, logs_sql, table
 from timberline.plans.filters import LogQuery
@@ -144,18 +144,13 @@ def page_time_range(spark, sf_dir):
     return page.agg(F.min("timestamp").alias("oldest"), F.max("timestamp").alias("newest"))
 
 
-@query("search_relevance")
-def search_relevance(spark, sf_dir):
-    return search.search(event_logs(spark, sf_dir), ask(query="timeout internal worker"), 50, by_relevance=True).select(*_PAGE, "score")
-
-
 _GET = f"SELECT {', '.join(_PAGE)} FROM logs WHERE "
 
 
 @query("get_by_log_id", over(_GET + "log_id = (SELECT min(log_id) FROM logs)"))
 def get_by_log_id(spark, sf_dir):
     logs = event_logs(spark, sf_dir)
-    least = logs.agg(F.min("log_id")).first()[0]
+    least = logs.agg(F.min("log_id")).scalar()  # a subquery; nothing runs before the result is asked for
     return search.get(logs, ask(log_id=least)).select(*_PAGE)
 
 
@@ -180,17 +175,6 @@ def context_neighbors(spark, sf_dir):
     return search.context(logs, page, 3)
 
 
-@query("schema_profile", over("""SELECT field, sum(n) AS count, CASE WHEN count(*) >= 1000 THEN '1000+' ELSE CAST(count(*) AS VARCHAR) END AS distinct_values, arg_max(type, newest) AS type,
-  array_to_string(list(value ORDER BY newest DESC, value)[1:3], '|') AS samples
-FROM (SELECT field, value, count(*) AS n, max(timestamp || log_id) AS newest, any_value(type) AS type FROM cells WHERE value IS NOT NULL GROUP BY field, value) GROUP BY field""",
-    more=", newest AS (SELECT * FROM logs ORDER BY timestamp DESC, log_id LIMIT 10000), cells AS (" + " UNION ALL ".join(
-        f"SELECT '{n.replace('error_', 'error.')}' AS field, '{k}' AS type, CAST({n} AS VARCHAR) AS value, timestamp, log_id FROM newest"
-        for n, k in aggregate.PROFILE_FIELDS.items() if n not in ("source_file", "line_number", "duration_ms")) + " UNION ALL SELECT 'attributes.k', 'number', regexp_extract(attributes, '(-?[0-9]+)', 1), timestamp, log_id FROM newest)"))
-def schema_profile(spark, sf_dir):
-    found = aggregate.profile(event_logs(spark, sf_dir).withColumn("duration_ms", F.lit(None).cast("double")))
-    return found.withColumn("samples", F.array_join("samples", "|"))
-
-
 # -------------------------------------------------------- retention and merge
 @query("retention_split", over(f"SELECT timestamp <= '2024-01-16T00:00:00.000Z' AS expired, count(*) AS count, min(timestamp) AS oldest, max(timestamp) AS newest FROM logs GROUP BY 1"))
 def retention_split(spark, sf_dir):
@@ -331,19 +315,6 @@ def coalesce_blocks(spark, sf_dir):
     return coalesce.coalesce_blocks(document_lines(spark, sf_dir))
 
 
-# ------------------------------------------------------------ mining, learning
-@query("patterns_drain")
-def patterns_drain(spark, sf_dir):
-    found = drain.patterns(event_logs(spark, sf_dir))
-    return found.select("template_id", "template", "count", "share", "first_seen", "last_seen", "example", F.array_join("samples", ",").alias("samples"))
-
-
-@query("learn_regex")
-def learn_regex(spark, sf_dir):
-    found = learn.learn(event_lines(spark, sf_dir), "event_id", "line")
-    return found.select(F.col("key").alias("event_id"), "pattern", "confidence", F.array_join("fields", ",").alias("fields"))
-
-
 @query("trace_conversation", "SELECT conv_id, turn, role, before, after FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations)")
 def trace_conversation(spark, sf_dir):
     from pyspark.sql import Window
