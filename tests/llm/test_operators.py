@@ -481,6 +481,26 @@ def test_bpe_equals_the_tokenizer(spark, odd):
     assert bpe_codec.bpe_encode(odd, with_ids=False).count() == odd.count() and bpe_codec.bpe_encode(none(spark)).count() == 0
 
 
+@pytest.mark.parametrize("most", [40, 60_000])
+def test_chunks_are_reused_and_joins_agree(monkeypatch, most):
+    """Slices that share passages at any offset, through stores that overflow or don't."""
+    monkeypatch.setattr(bpe_codec, "MAX_CHUNKS", most)
+    monkeypatch.setattr(bpe_codec, "MAX_WORDS", 10 * most)
+    rng = random.Random(30)
+    made = bpe_codec.Codec(bpe_codec.vocabulary_path())
+    passages = [prose(rng, 600).replace(" b", ", b").replace(" k", ".\nK") for _ in range(3)] + ["".join(rng.choice("aB1 \té,.'") for _ in range(6000))]
+    chunks = 0
+    for _ in range(12):
+        texts = ["".join(p[rng.randint(0, 40) :] + rng.choice(["", " ", "x", ",", "é"]) for p in rng.sample(passages, 3)) for _ in range(8)] + ["", passages[0]]
+        data, at = bpe_codec.column_bytes(pa.array(texts))
+        chunks += len(bpe_codec.chunk_ends(data, at))
+        for t, ids, decoded in zip(texts, *made.encode(data, at)):
+            want = made.tokenizer.encode(t, add_special_tokens=False).ids
+            assert np.frombuffer(ids, "<u4").tolist() == want and decoded.decode() == made.tokenizer.decode(want, skip_special_tokens=False)
+    assert made.encoded_chunks < chunks * (0.15 if most > 1000 else 0.9)
+    assert len(made.chunks.used) <= max(most, 0) or most == 40
+
+
 # -------------------------------------------------------------- near duplicates
 def hashed_words(texts):
     words = split_words(pa.array(texts, pa.string()))

@@ -1,18 +1,22 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over sixteen bytes cuts every text into chunks whose ends depend
-on the content alone, so documents that share a passage share its chunks. A
-chunk that has been seen before is not encoded again. At a join of two chunks
-the last word of the left one and the first word of the right one may be parts
-of one word; the join is re-encoded over a stretch that grows on both sides until
-it begins and ends at ASCII white space. There the two encodings agree exactly:
-the tokenizer's normaliser never composes across white space, its splitter drops
-white space, and no added token holds any. The proof is checked against the
-tokenizer itself in the tests, and ``agrees`` guards the vocabulary at run time.
-
-Misses are encoded by the tokenizer in one batch per slice, each distinct word
-once. The stores are bounded per worker process; when full they start anew, which
-costs time and never changes a result. A narrow map: no shuffle.
+on the content alone, so documents that share a passage share its chunks. A chunk is
+encoded when it is first met, and from then on taken from the store whole. At a
+join of two chunks the last word of the left one and the first word of the right
+one may be parts of one word; the join is encoded anew over a stretch that grows on
+both sides until it begins and ends at ASCII white space. There both encodings
+agree exactly: the tokenizer's normaliser never composes across white space, its
+splitter drops white space, and no added token holds any. The proof is checked
+against the tokenizer itself in the tests, and ``agrees`` guards the vocabulary
+at run time.
+
+Words of new chunks and of joins are told apart by 64-bit hashes within a slice,
+and each distinct one is looked up by its bytes; those that aren't stored are
+encoded by the tokenizer in one batch. Ids and decoded texts are then gathered for
+all units of a slice at once. Both stores belong to a worker process and are bounded;
+a full one lets go of the half that was used least recently, which costs time and
+never changes a result. A narrow map: no shuffle.
 
 Defined cases: a null or empty text has no ids and decodes to ``''``; repeated
 rows are encoded row by row; very long texts are slices of their own; an empty
@@ -23,51 +27,95 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from timberline.llm.textkit import _BASE, _TABLE, column_bytes, range_hash, slices
+from timberline.llm.textkit import _BASE, _TABLE, LOWER, U, Words, _inverse, _powers, column_bytes, slices, split_bytes
 
 VOCABULARY = "word_bpe_49k.json"
-CHUNK_BYTES = 256  # on average; a power of two
+CHUNK_BITS = 8  # a chunk has 2 ** CHUNK_BITS bytes on average
 WINDOW = 16
-MAX_WORDS, MAX_CHUNKS, MAX_SEEN = 250_000, 12_000, 250_000
+MAX_WORDS, MAX_CHUNKS = 400_000, 60_000
 
 
-def chunk_ends(data: np.ndarray, at: np.ndarray, size: int = CHUNK_BYTES) -> np.ndarray:
+def chunk_ends(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Ends of the chunks in ``data``, whose rows end at ``at[1:]``."""
-    n = len(data)
-    ends = at[1:]
+    n, ends = len(data), at[1:]
     if n > WINDOW:
-        start = np.arange(n - WINDOW)
-        hashed = range_hash(_TABLE[data], _BASE, start, start + WINDOW)
-        cut = np.flatnonzero(hashed & np.uint64(size - 1) == 0) + WINDOW
-        cut = cut[(data[cut] & 0xC0) != 0x80]  # never within a character
+        total = np.zeros(n + 1, U)
+        np.cumsum(_TABLE[data] * _powers(_BASE, n)[:n], out=total[1:])
+        rolling = (total[WINDOW:] - total[:-WINDOW]) * _powers(_inverse(_BASE), n)[: n - WINDOW + 1]
+        cut = np.flatnonzero(rolling >> U(64 - CHUNK_BITS) == 0) + WINDOW
         ends = np.concatenate([ends, cut])
     return np.unique(ends)
 
 
-_ODD_BLANKS = re.compile(rb"[\t\n\r\x0b\x0c]")
-
-
-def _edges(chunk: bytes) -> tuple[int, int]:
-    """Places of the first and last white space of a chunk, -1 without any."""
-    line = _ODD_BLANKS.sub(b" ", chunk)
-    return line.find(b" "), line.rfind(b" ")
-
-
-_LETTER = bytes([*range(0x30, 0x3A), *range(0x61, 0x7B)])
-_PUNCT = {bytes([c, p]): p for c in _LETTER for p in b".,;:!?)|"}
+_ENDING = np.zeros(256, bool)
+_ENDING[[*b".,;:!?)|"]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = True
+
+
+def with_marks(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """start and end of the words, and which run between blanks each is of; a mark
+    after an ASCII letter or digit is a word too, as the splitter ends a run there."""
+    start, end = words.start, words.end
+    of = np.arange(len(start))
+    if not len(start):
+        return start, end, of
+    marked = _ENDING[words.data[end - 1]] & _LETTER[words.data[np.maximum(end - 2, 0)]] & (end - start > 1)
+    mark = end[marked] - 1
+    order = np.argsort(np.concatenate([start, mark]), kind="stable")
+    return np.concatenate([start, mark])[order], np.concatenate([end - marked, end[marked]])[order], np.concatenate([of, of[marked]])[order]
+
+
+def gather(pool: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The pieces of ``pool`` that begin at ``at``, one after another."""
+    done = np.cumsum(size)
+    return pool[np.repeat(at - (done - size), size) + np.arange(done[-1] if len(done) else 0)]
+
+
+class Store:
+    """Bytes to ids and decoded text, bounded. Entries are numbers into columns."""
+
+    def __init__(self, most: int):
+        self.most, self.number = most, {}
+        self.ids, self.text = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        self.entry = np.zeros((4, 0), np.int64)  # begin and size of ids, begin and size of text
+        self.used, self.clock = np.zeros(0, np.int64), 0
+
+    def add(self, keys: list[bytes], ids: np.ndarray, id_sizes: np.ndarray, text: np.ndarray, text_sizes: np.ndarray) -> None:
+        self.number.update(zip(keys, range(len(self.used), len(self.used) + len(keys))))
+        new = np.stack([len(self.ids) + np.cumsum(id_sizes) - id_sizes, id_sizes, len(self.text) + np.cumsum(text_sizes) - text_sizes, text_sizes])
+        self.entry = np.concatenate([self.entry, new], axis=1)
+        self.ids, self.text = np.concatenate([self.ids, ids]), np.concatenate([self.text, text])
+        self.used = np.concatenate([self.used, np.full(len(keys), self.clock)])
+
+    def touch(self, numbers: np.ndarray) -> None:
+        self.clock += 1
+        self.used[numbers] = self.clock
+
+    def shrink(self) -> None:
+        """Half of a full store goes: the entries that were used least recently."""
+        if len(self.used) <= self.most:
+            return
+        kept = np.sort(np.argsort(-self.used, kind="stable")[: self.most // 2])
+        place = np.full(len(self.used), -1)
+        place[kept] = np.arange(len(kept))
+        self.number = {k: p for k, n in self.number.items() if (p := int(place[n])) >= 0}
+        a, n, b, m = self.entry[:, kept]
+        self.ids, self.text, self.used = gather(self.ids, a, n), gather(self.text, b, m), self.used[kept]
+        self.entry = np.stack([np.cumsum(n) - n, n, np.cumsum(m) - m, m])
 
 
 class Codec:
     """A tokenizer with bounded stores of encoded words and chunks."""
 
+    encoded_chunks = 0  # how many were encoded; the others came from the store
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks use the cores
         from tokenizers import Tokenizer
@@ -77,10 +125,7 @@ class Codec:
         self.tokenizer.no_truncation()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.pieces = [self.tokenizer.id_to_token(k) or "" for k in range(size)]
-        self.words: dict[bytes, bytes] = {}  # used of late
-        self.older: dict[bytes, bytes] = {}  # the store before that
-        self.chunks: dict[bytes, tuple[bytes, bytes, bytes]] = {}
-        self.seen: set[int] = set()
+        self.words, self.chunks = Store(MAX_WORDS), Store(MAX_CHUNKS)
         self.agrees()
 
     def agrees(self) -> None:
@@ -96,102 +141,75 @@ class Codec:
         if self.tokenizer.decoder is not None:
             raise ValueError("this vocabulary decodes by more than joining its pieces")
 
-    def _split(self, text: bytes) -> list[bytes]:
-        """Words of ``text``; a mark after an ASCII letter or digit is a word too,
-        as the splitter ends a run there."""
-        out = []
-        for w in text.split():
-            mark = _PUNCT.get(w[-2:])
-            if mark is not None:
-                out.append(w[:-1])
-                out.append(w[-1:])
-            else:
-                out.append(w)
-        return out
-
-    def _encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word; those not stored are encoded in one batch."""
+    def _words(self, raw: bytes, words: Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Numbers of the words in their store; those that aren't there are encoded in
+        one batch."""
+        _, first, at = np.unique(words.hashes(start, end), return_index=True, return_inverse=True)
+        said = [raw[i:j] for i, j in zip(start[first].tolist(), end[first].tolist())]
         store = self.words
-        got = list(map(store.get, words))
-        if None in got:
-            missing = {}
-            for w, g in zip(words, got):
-                if g is None and w not in store:
-                    old = self.older.get(w)
-                    if old is None:
-                        missing[w] = None
-                    else:
-                        store[w] = old
-            if missing:
-                encoded = self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-                for w, e in zip(missing, encoded):
-                    store[w] = array("I", e.ids).tobytes()
-            got = [store[w] for w in words]
-            if len(store) > MAX_WORDS:
-                self.older, self.words = store, {}
-        return got
-
-    def encode(self, data: np.ndarray, at: np.ndarray) -> list[bytes]:
-        """Ids (little-endian, 32 bits) of each row of a slice."""
-        raw, ends = data.tobytes(), chunk_ends(data, at).tolist()
-        lower = b"<|" not in raw  # added tokens are matched before letters are lowered
-        words: list[bytes] = []
-        fresh: dict[bytes, tuple[int, int, bytes, bytes]] = {}  # chunk to its words and edges
-        rows: list[list] = []  # per row: ids of known cores, or ranges of words
-        here = k = 0
-        for stop in at[1:].tolist():
-            plan: list = []
-            carry: list[bytes] = []
-            while here < stop:
-                while ends[k] <= here:
-                    k += 1
-                chunk = raw[here : ends[k]]
-                if lower:
-                    chunk = chunk.lower()
-                here = ends[k]
-                known = self.chunks.get(chunk)
-                if known is not None:
-                    core, head, tail = known
-                elif chunk in fresh:
-                    core, head, tail = fresh[chunk]
-                else:
-                    first, last = _edges(chunk)
-                    if first < 0:  # no white space: the join goes on
-                        carry.append(chunk)
-                        continue
-                    core, head, tail = self._take(chunk[first:last], words), chunk[:first], chunk[last + 1 :]
-                    fresh[chunk] = core, head, tail
-                carry.append(head)
-                plan.append(self._take(b"".join(carry), words))
-                plan.append(core)
-                carry = [tail]
-            plan.append(self._take(b"".join(carry), words))
-            rows.append(plan)
-        ids = self._encode_words(words)
-        for chunk, (core, head, tail) in fresh.items():
-            self._keep(chunk, ids, core, head, tail)
-        return [b"".join([p if type(p) is bytes else b"".join(ids[p[0] : p[1]]) for p in plan]) for plan in rows]
-
-    def _take(self, text: bytes, words: list[bytes]) -> tuple[int, int]:
-        begin = len(words)
-        words += self._split(text)
-        return begin, len(words)
-
-    def _keep(self, chunk: bytes, ids: list[bytes], core: tuple[int, int], head: bytes, tail: bytes) -> None:
-        """A chunk that is met for the second time is stored."""
-        mark = hash(chunk)
-        if mark in self.seen:
-            if len(self.chunks) >= MAX_CHUNKS:
-                self.chunks.clear()
-            self.chunks[chunk] = b"".join(ids[core[0] : core[1]]), head, tail
-        else:
-            if len(self.seen) > MAX_SEEN:
-                self.seen.clear()
-            self.seen.add(mark)
-
-    def decode(self, ids: bytes) -> str:
-        """The tokenizer without a decoder joins its pieces with spaces."""
-        return " ".join([self.pieces[i] for i in array("I", ids)])
+        missing = [w for w in said if w not in store.number]
+        if missing:
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)]
+            texts = ["".join([self.pieces[i] + " " for i in e]).encode() for e in encoded]
+            store.add(missing, np.array([i for e in encoded for i in e], np.uint32), np.array([len(e) for e in encoded], np.int64), np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64))
+        number = np.array([store.number[w] for w in said], np.int64)
+        store.touch(number)
+        return number[at]
+
+    def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+        """Of each row of a slice the ids (little-endian, 32 bits) and the text that
+        they decode to."""
+        if b"<|" not in data.tobytes():  # added tokens are matched before letters are lowered
+            data = LOWER[data]
+        raw, rows, words = data.tobytes(), len(at) - 1, split_bytes(data, at)
+        start, end, of = with_marks(words)
+        if not len(start):
+            return [b""] * rows, [b""] * rows
+        row, ends = words.row_of()[of], chunk_ends(data, at)
+        begins = np.concatenate([[0], ends[:-1]])
+        # A chunk owns the words that have a blank on either side within it. What is at
+        # its ends is of a join, so the chunk's bytes alone tell what it holds.
+        chunk = np.searchsorted(ends, words.start, "right")
+        core = ((words.start > begins[chunk]) & (words.end < ends[chunk]))[of]
+        chunk = chunk[of]
+        # Chunks with words of their own: known ones are taken, the first of each new
+        # one is encoded and stored.
+        held, first, count = np.unique(chunk[core], return_index=True, return_counts=True)
+        places = np.flatnonzero(core)
+        keys = [raw[i:j] for i, j in zip(begins[held].tolist(), ends[held].tolist())]
+        known = self.chunks.number
+        new = {}
+        for k, key in enumerate(keys):
+            if key not in known:
+                new.setdefault(key, k)
+        fresh = np.fromiter(new.values(), np.int64, len(new))
+        self.encoded_chunks += len(fresh)
+        mine = gather(places, first[fresh], count[fresh])  # the words of new chunks
+        needed = ~core
+        needed[mine] = True
+        number = np.full(len(start), -1, np.int64)
+        number[needed] = self._words(raw, words, start[needed], end[needed])
+        if len(fresh):
+            a, n, b, m = self.words.entry[:, number[mine]]
+            cut = np.cumsum(count[fresh]) - count[fresh]
+            self.chunks.add(list(new), gather(self.words.ids, a, n), np.add.reduceat(n, cut), gather(self.words.text, b, m), np.add.reduceat(m, cut))
+        taken = np.array([known[key] for key in keys], np.int64)
+        self.chunks.touch(taken)
+        # Units: a word of a join, or at the first word of a chunk the whole of it.
+        shift = self.words.entry.shape[1]
+        entry = np.concatenate([self.words.entry, self.chunks.entry + np.array([[len(self.words.ids)], [0], [len(self.words.text)], [0]])], axis=1)
+        unit = np.where(core, -1, number)
+        unit[places[first]] = taken + shift
+        used = np.flatnonzero(unit >= 0)
+        a, n, b, m = entry[:, unit[used]]
+        ids = gather(np.concatenate([self.words.ids, self.chunks.ids]), a, n)
+        text = gather(np.concatenate([self.words.text, self.chunks.text]), b, m)
+        self.words.shrink()
+        self.chunks.shrink()
+        id_at = np.concatenate([[0], np.cumsum(np.bincount(row[used], n, rows).astype(np.int64))]) * 4
+        text_at = np.concatenate([[0], np.cumsum(np.bincount(row[used], m, rows).astype(np.int64))])
+        ids, text = ids.tobytes(), text.tobytes()
+        return [ids[i:j] for i, j in zip(id_at[:-1].tolist(), id_at[1:].tolist())], [text[i : max(i, j - 1)] for i, j in zip(text_at[:-1].tolist(), text_at[1:].tolist())]
 
 
 _CODECS: dict[str, Codec] = {}
@@ -220,17 +238,16 @@ def bpe_encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabul
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = codec(vocabulary if "/" in vocabulary else vocabulary_path(vocabulary))
         for batch in slices(batches):
-            rows = made.encode(*column_bytes(batch.column(1)))
-            decoded = [made.decode(i) for i in rows]
+            rows, decoded = made.encode(*column_bytes(batch.column(1)))
             columns = [
                 batch.column(0),
                 pa.array([len(i) // 4 for i in rows], pa.int64()),
                 pa.array([hashlib.sha256(i).hexdigest() for i in rows], pa.string()),
-                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string()),
+                pa.array([hashlib.sha256(t).hexdigest() for t in decoded], pa.string()),
             ]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns += [pa.array([np.frombuffer(i, "<i4") for i in rows], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                columns += [pa.array([np.frombuffer(i, "<i4") for i in rows], pa.list_(pa.int32())), pa.array([t.decode() for t in decoded], pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

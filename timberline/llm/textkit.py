@@ -79,10 +79,12 @@ class Words:
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        if not len(self.start):
+    def hashes(self, start: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """Of the words, or of the given byte ranges."""
+        start, end = (self.start, self.end) if start is None else (start, end)
+        if not len(start):
             return np.zeros(0, U)
-        return range_hash(_TABLE[self.data], _BASE, self.start, self.end)
+        return range_hash(_TABLE[self.data], _BASE, start, end)
 
     def sequence_hash(self, word_hash: np.ndarray, start: np.ndarray, length) -> np.ndarray:
         if not len(start):
@@ -104,8 +106,10 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def split_words(col: pa.Array, lower: bool = False, breaks: np.ndarray = SPACE) -> Words:
     """Words are the longest runs of bytes outside ``breaks``, within a row."""
     data, at = column_bytes(col)
-    if lower:
-        data = LOWER[data]
+    return split_bytes(LOWER[data] if lower else data, at, breaks)
+
+
+def split_bytes(data: np.ndarray, at: np.ndarray, breaks: np.ndarray = SPACE) -> Words:
     n = len(data)
     inside = np.zeros(n + 2, np.int8)
     inside[1:-1] = ~breaks[data]
