@@ -204,6 +204,31 @@ def test_substrings_equal_brute_force(spark, odd):
     assert cut.columns == odd.columns and cut.count() == odd.count() and substring_dedup.digests(none(spark)).count() == 0
 
 
+def test_factors_are_copies_and_the_parse_is_greedy(spark):
+    """Each factor's words stand at its source, which is another place; a document that
+    is pieced together has one factor for each piece."""
+    rng = random.Random(31)
+    sources = [prose(rng, 400).split() for _ in range(4)]
+    made = sources[0][20:120] + sources[1][100:190] + prose(rng, 12).split() + sources[2][5:340] + ["z"] + sources[3][:34]
+    texts = [" ".join(w) for w in (*sources, made)]
+    scratch = substring_dedup.Scratch(spark, "test")
+    df = docs(spark, texts)
+    rid = {r._rid: r._text.split() for r in substring_dedup._keyed(df).collect()}
+    got = {}
+    for r in substring_dedup.indexed_places(df, scratch).collect():
+        columns = [np.array([getattr(p, c) for p in r.places]) for c in ("start", "windows", "rid_a", "at_a", "rid_b", "at_b")]
+        got[r.rid] = substring_dedup.factors(r.rid, *columns)
+        for at, size, source, there in got[r.rid]:
+            assert size >= 35 and (source, there) != (r.rid, at) and rid[r.rid][at : at + size] == rid[source][there : there + size]
+    (mine,) = (f for i, f in got.items() if rid[i] == made)
+    assert [(at, size) for at, size, _, _ in mine] == [(0, 100), (100, 90), (202, 335)]
+
+
+def test_anchors_of_long_slices_go_piece_by_piece():
+    gram = np.random.default_rng(32).integers(0, 50, 500, dtype=np.uint64) << np.uint64(40)
+    assert (substring_dedup._anchors(gram, 64) == substring_dedup._anchors(gram)).all()
+
+
 # ------------------------------------------------------------------------ URLs
 def test_urls(spark):
     urls = ["http://a.com/en/1", "https://EXAMPLE.com/en/76?x", "http://command/en/", "http://x.net/de/8", "http://q.example.net/de/8", "ftp://o.org/es/", None, "no scheme", "http://com/en", "http://a.co/ads/1", "http://h?x://b.com/en/"]

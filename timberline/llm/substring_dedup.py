@@ -1,30 +1,35 @@
-"""Repeated passages by hashes of content-cut blocks and of windows at their ends.
+"""Repeated passages by relative Lempel-Ziv factors over indexed reference blocks.
 
 A passage is repeated when a window of ``WINDOW`` consecutive words starts at two
 places or more. The reference is the whole corpus, cut into blocks by content:
 every window names an anchor, the k-gram with the smallest hash within it, and
 windows in a row that name the same anchor are a block. Equal windows name equal
 anchors at the same distance, so a repeated window lies in blocks whose anchor
-occurs again, and only such blocks are looked at further.
-
-There is no greedy Lempel-Ziv parse; here a factor is a longest run of covered windows:
-
-* a block whose whole content occurs again is part of a factor as it stands; in
-  the midst of copied text all blocks are of this kind;
-* at a factor's boundary a block shares its anchor, but not all its content, with
-  other blocks. There every window of one representative of each different content
-  is looked up on its own, so the factor ends at the exact word.
-
-Runs of covered windows are factors of ``WINDOW`` words or more; their words go.
+occurs again, and only such blocks are indexed.
+
+A document is parsed into factors: runs of its words that stand in a reference block,
+copied from another place of the corpus. The index tells for each block the first and
+the last place that hold the same content; within the midst of copied text all
+blocks are of this kind. At a factor's ends a block shares its anchor, but not
+all its content, with other blocks; there every window of one representative of each
+content is looked up on its own, so a factor ends at the exact word. The parse
+goes from left to right and is greedy: a factor goes on for as long as one of the
+next block's places continues its source, and else another begins. As the index
+holds windows, no factor is shorter than one; all become duplicate spans, and the
+words in them go.
+
+Blocks are equal by two 64-bit hashes (of the anchor, and of all words with their
+number and the anchor's place), windows by those of the anchor and of their words.
 About one row per fourteen words is shuffled for the index, and texts are moved
 only to meet the rows found for them. The count of a block that very many
 documents share is summed before it is shuffled.
 
 Defined cases: words are the runs between ASCII white space; a null or empty text
 has none; texts shorter than a window keep all words; windows of a text that
-repeats within itself, overlapping ones too, count as repeated; repeated rows
-are two places each; a null id is kept and joins by its text; an empty table
-gives an empty result; further columns stay as they are.
+repeats within itself, overlapping ones too, count as repeated; repeated rows are
+two places each, and their factors are copied from one another; a null id is kept
+and joins by its text; an empty table gives an empty result; further columns stay
+as they are.
 """
 
 from __future__ import annotations
@@ -43,7 +48,25 @@ from timberline.llm.textkit import U, Words, mix, signed, slices, split_words
 WINDOW = 35
 GRAM = 8
 _REACH = WINDOW - GRAM + 1  # k-grams in a window
-_PLACE = U((1 << 26) - 1)
+_PLACE_BITS = 26
+
+
+def _anchors(gram: np.ndarray, piece: int = 1 << _PLACE_BITS) -> np.ndarray:
+    """For each window of k-grams the place of the smallest, the leftmost of equals.
+    The place in the low bits makes it so; longer slices go piece by piece."""
+    low = U((1 << _PLACE_BITS) - 1)
+    out = np.empty(max(0, len(gram) - _REACH + 1), np.int64)
+    for at in range(0, len(out), piece - _REACH):
+        part = gram[at : at + piece]
+        key = (part & ~low) | np.arange(len(part), dtype=U)
+        span = 1
+        while 2 * span <= _REACH:
+            key = np.minimum(key[:-span], key[span:])
+            span *= 2
+        if span < _REACH:
+            key = np.minimum(key[: len(key) - (_REACH - span)], key[_REACH - span :])
+        out[at : at + len(key)] = (key & low).astype(np.int64) + at
+    return out
 
 
 def blocks(words: Words) -> dict[str, np.ndarray]:
@@ -57,18 +80,10 @@ def blocks(words: Words) -> dict[str, np.ndarray]:
         none = np.zeros(0, np.int64)
         return {"row": none, "start": none, "windows": none, "anchor": none, "content": none}
     gram = words.sequence_hash(hashed, np.arange(n - GRAM + 1), GRAM)
-    # The place in the low bits makes the leftmost of equal hashes the smallest.
-    key = (gram & ~_PLACE) | np.arange(len(gram), dtype=U)
-    span = 1
-    while 2 * span <= _REACH:
-        key = np.minimum(key[:-span], key[span:])
-        span *= 2
-    if span < _REACH:
-        key = np.minimum(key[: len(key) - (_REACH - span)], key[_REACH - span :])
     row = np.repeat(np.arange(len(counts)), per_row)
     begin = np.concatenate([[0], np.cumsum(per_row)])[:-1]
     window = words.first[:-1][row] + np.arange(len(row)) - begin[row]
-    anchor = (key[window] & _PLACE).astype(np.int64)
+    anchor = _anchors(gram)[window]
     new = np.ones(len(window), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
@@ -97,61 +112,84 @@ def block_table(docs: DataFrame) -> DataFrame:
 
 
 def _boundary_windows(docs: DataFrame, heads: DataFrame) -> DataFrame:
-    """anchor, content, nth, h: every window of the representative blocks."""
+    """anchor, content, rid, at, h: every window of the representative blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             words = split_words(batch.column(0))
             hashed = words.hashes()
-            lists = batch.column(1)
+            lists = batch.column(2)
             owner = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
             x = lists.flatten()
             get = lambda name: np.asarray(x.field(name))  # noqa: B023, E731
             size = get("windows").astype(np.int64)
             block = np.repeat(np.arange(len(size)), size)
             nth = np.arange(len(block)) - np.repeat(np.cumsum(size) - size, size)
-            start = words.first[:-1][owner][block] + get("start").astype(np.int64)[block] + nth
-            h = signed(words.sequence_hash(hashed, start, WINDOW))
-            yield pa.RecordBatch.from_arrays([pa.array(get("anchor")[block]), pa.array(get("content")[block]), pa.array(nth.astype(np.int32)), pa.array(h)], names=["anchor", "content", "nth", "h"])
+            place = get("start").astype(np.int64)[block] + nth
+            h = signed(words.sequence_hash(hashed, words.first[:-1][owner][block] + place, WINDOW))
+            rid = np.asarray(batch.column(1))[owner][block]
+            yield pa.RecordBatch.from_arrays([pa.array(get("anchor")[block]), pa.array(get("content")[block]), pa.array(rid), pa.array(place.astype(np.int32)), pa.array(h)], names=["anchor", "content", "rid", "at", "h"])
 
     one_each = heads.groupBy("rid").agg(F.collect_list(F.struct("anchor", "content", "start", "windows")).alias("blocks"))
-    met = _keyed(docs).join(one_each.hint("shuffle_hash"), F.col("_rid") == F.col("rid"))
-    return met.select("_text", "blocks").mapInArrow(run, "anchor long, content long, nth int, h long")
+    texts = _keyed(docs)
+    met = texts.join(one_each, F.col("_rid") == F.col("rid"))
+    return met.select("_text", "_rid", "blocks").mapInArrow(run, "anchor long, content long, rid long, at int, h long")
 
 
-def repeated_blocks(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """rid and its list of start, windows and mask; bit i of mask is set where the
-    window start + i is repeated. Bounded by the length of the document."""
+def indexed_places(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """rid and its list of start, windows and two places that hold the same words: runs
+    of windows that are repeated. Bounded by the length of the document."""
     occurrences = scratch.save(block_table(docs), "blocks")
-    seen = occurrences.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("x"), F.max("content").alias("y")).where("n > 1")
+    place = F.struct("rid", "start")
+    seen = occurrences.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("x"), F.max("content").alias("y"), F.min(place).alias("a"), F.max(place).alias("b")).where("n > 1")
     # Written first, so that AQE may split the partition of an anchor that is everywhere.
-    shared = scratch.save(seen.select(F.col("anchor").alias("k"), (F.col("x") != F.col("y")).alias("mixed")), "shared")
+    shared = scratch.save(seen.select(F.col("anchor").alias("k"), (F.col("x") != F.col("y")).alias("mixed"), "a", "b"), "shared")
     found = scratch.save(occurrences.join(shared, F.col("anchor") == F.col("k")).drop("k"), "found")
     scratch.drop("blocks")
-    whole = (1 << _REACH) - 1
-    plain = found.where("not mixed").select("rid", "start", "windows", F.lit(whole).cast("int").alias("mask"))
-    mixed = found.where("mixed")
-    head = F.min(F.struct("rid", "start", "windows")).alias("head")
-    kinds = scratch.save(mixed.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), head).select("anchor", "content", "n", "head.*"), "kinds")
-    windows = scratch.save(_boundary_windows(docs, kinds), "windows")
-    again = windows.groupBy("h").agg(F.min("content").alias("x"), F.max("content").alias("y")).where("x <> y").select(F.col("h").alias("hh"))
-    masks = windows.join(again, F.col("h") == F.col("hh")).groupBy("anchor", "content").agg(F.expr("bit_or(shiftleft(1, nth))").alias("m"))
-    both = kinds.join(masks, ["anchor", "content"], "left").select(F.col("anchor").alias("ka"), F.col("content").alias("kc"), F.when(F.col("n") > 1, F.lit(whole)).otherwise(F.col("m")).cast("int").alias("mask")).where("mask is not null")
-    both = scratch.save(both, "masks")
-    scratch.drop("windows")
-    checked = mixed.join(both, (F.col("anchor") == F.col("ka")) & (F.col("content") == F.col("kc"))).select("rid", "start", "windows", "mask")
-    return plain.unionByName(checked).groupBy("rid").agg(F.collect_set(F.struct("start", "windows", "mask")).alias("blocks"))
-
-
-def covered(n_words: int, start: np.ndarray, windows: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Which words lie in a repeated window."""
+    places = [F.col("a.rid").alias("rid_a"), F.col("a.start").alias("at_a"), F.col("b.rid").alias("rid_b"), F.col("b.start").alias("at_b")]
+    plain = found.where("not mixed").select("rid", "start", "windows", *places)
+    mixed = found.where("mixed").drop("a", "b")
+    kinds = mixed.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("a"), F.max(place).alias("b"), F.first("windows").alias("windows"))
+    kinds = scratch.save(kinds, "kinds")
+    heads = kinds.select("anchor", "content", F.col("a.rid").alias("rid"), F.col("a.start").alias("start"), "windows")
+    windows = scratch.save(_boundary_windows(docs, heads), "windows")
+    holder = F.struct("content", "rid", "at")
+    again = windows.groupBy("anchor", "h").agg(F.min(holder).alias("p"), F.max(holder).alias("q")).where("p.content <> q.content").withColumnRenamed("anchor", "ka").withColumnRenamed("h", "kh")
+    # A content that occurs once has what its windows share with other contents.
+    alone = kinds.where("n = 1").select(F.col("anchor").alias("oa"), F.col("content").alias("oc"))
+    single = windows.join(again, (F.col("anchor") == F.col("ka")) & (F.col("h") == F.col("kh"))).join(alone, (F.col("anchor") == F.col("oa")) & (F.col("content") == F.col("oc")))
+    other = F.when(F.col("p.content") == F.col("content"), F.col("q")).otherwise(F.col("p"))
+    parts = single.select("rid", F.col("at").alias("start"), F.lit(1).alias("windows"), other["rid"].alias("rid_a"), other["at"].alias("at_a"), other["rid"].alias("rid_b"), other["at"].alias("at_b"))
+    twice = scratch.save(kinds.where("n > 1").select(F.col("anchor").alias("ka"), F.col("content").alias("kc"), "a", "b"), "twice")
+    copied = mixed.join(twice, (F.col("anchor") == F.col("ka")) & (F.col("content") == F.col("kc"))).select("rid", "start", "windows", *places)
+    row = F.struct(F.col("start").cast("int").alias("start"), F.col("windows").cast("int").alias("windows"), "rid_a", F.col("at_a").cast("int").alias("at_a"), "rid_b", F.col("at_b").cast("int").alias("at_b"))
+    return plain.unionByName(copied).unionByName(parts).groupBy("rid").agg(F.collect_set(row).alias("places"))
+
+
+def factors(rid: int, start: np.ndarray, windows: np.ndarray, rid_a: np.ndarray, at_a: np.ndarray, rid_b: np.ndarray, at_b: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(first word, words, source, first word there) of the greedy parse of one
+    document. A block's own place is no source, unless a repeated row holds it too."""
+    order = np.lexsort((-windows, start))
+    out: list[list[int]] = []
+    end = source = shift = None  # of the windows of the factor that may go on
+    for s, n, *two in zip(*(x[order].tolist() for x in (start, windows, rid_a, at_a, rid_b, at_b))):
+        places = [(two[0], two[1] - s), (two[2], two[3] - s)]
+        others = [p for p in places if p != (rid, 0)] or places[:1]
+        if end == s and (source, shift) in others:
+            out[-1][1] += n
+        else:
+            source, shift = others[0]
+            out.append([s, n + WINDOW - 1, source, s + shift])
+        end = s + n
+    return [tuple(f) for f in out]
+
+
+def covered(n_words: int, found: list[tuple[int, int, int, int]]) -> np.ndarray:
+    """Which words lie in a factor."""
     change = np.zeros(n_words + 1, np.int64)
-    block = np.repeat(np.arange(len(start)), windows)
-    nth = np.arange(len(block)) - np.repeat(np.cumsum(windows) - windows, windows)
-    hit = (mask[block] >> nth) & 1 == 1
-    at = (start[block] + nth)[hit]
-    np.add.at(change, at, 1)
-    np.add.at(change, at + WINDOW, -1)
+    at = np.array([(f[0], f[0] + f[1]) for f in found], np.int64).reshape(-1, 2)
+    np.add.at(change, at[:, 0], 1)
+    np.add.at(change, at[:, 1], -1)
     return np.cumsum(change)[:n_words] > 0
 
 
@@ -159,17 +197,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` (``_``-prefixed names are reserved), then _n_words,
     _n_removed and _kept: the kept words joined by one space."""
     scratch = Scratch(docs.sparkSession, "substring")
-    found = repeated_blocks(docs, scratch)
+    found = indexed_places(docs, scratch)
     names = docs.columns
     schema = docs.schema.__class__([*docs.schema.fields]).add("_n_words", "long").add("_n_removed", "long").add("_kept", "string")
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     rows = docs.select("*", F.xxhash64(docs["doc_id"], text).alias("_rid"), text.alias("_text"))
-    met = rows.join(found.hint("shuffle_hash"), F.col("_rid") == F.col("rid"), "left").select(*names, "_text", "blocks")
+    met = rows.join(found, F.col("_rid") == F.col("rid"), "left").select(*names, "_text", "_rid", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             words = split_words(batch.column(len(names)))
-            lists = batch.column(len(names) + 1)
+            rids, lists = batch.column(len(names) + 1), batch.column(len(names) + 2)
             raw, counts = words.data.tobytes(), words.counts
             removed, kept = np.zeros(batch.num_rows, np.int64), []
             for r in range(batch.num_rows):
@@ -177,7 +215,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 parts = text.split()
                 if lists[r].is_valid:
                     x = lists[r].values
-                    go = covered(int(counts[r]), *(np.asarray(x.field(c)).astype(np.int64) for c in ("start", "windows", "mask")))
+                    go = covered(int(counts[r]), factors(rids[r].as_py(), *(np.asarray(x.field(c)).astype(np.int64) for c in ("start", "windows", "rid_a", "at_a", "rid_b", "at_b"))))
                     removed[r] = go.sum()
                     parts = [parts[i] for i in np.flatnonzero(~go).tolist()]
                 kept.append(b" ".join(parts).decode())
