@@ -209,6 +209,7 @@ def test_factors_are_copies_and_the_parse_is_greedy(spark):
     is pieced together has one factor for each piece."""
     rng = random.Random(31)
     sources = [prose(rng, 400).split() for _ in range(4)]
+    sources[3][200:260] = sources[3][100:160]  # a document's own repeat
     made = sources[0][20:120] + sources[1][100:190] + prose(rng, 12).split() + sources[2][5:340] + ["z"] + sources[3][:34]
     texts = [" ".join(w) for w in (*sources, made)]
     scratch = substring_dedup.Scratch(spark, "test")
@@ -216,8 +217,8 @@ def test_factors_are_copies_and_the_parse_is_greedy(spark):
     rid = {r._rid: r._text.split() for r in substring_dedup._keyed(df).collect()}
     got = {}
     for r in substring_dedup.indexed_places(df, scratch).collect():
-        columns = [np.array([getattr(p, c) for p in r.places]) for c in ("start", "windows", "rid_a", "at_a", "rid_b", "at_b")]
-        got[r.rid] = substring_dedup.factors(r.rid, *columns)
+        columns = [np.array([getattr(p, c) for p in r.places]) for c in ("start", "windows", "source", "there")]
+        got[r.rid] = substring_dedup.factors(*columns)
         for at, size, source, there in got[r.rid]:
             assert size >= 35 and (source, there) != (r.rid, at) and rid[r.rid][at : at + size] == rid[source][there : there + size]
     (mine,) = (f for i, f in got.items() if rid[i] == made)

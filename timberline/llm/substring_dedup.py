@@ -8,13 +8,13 @@ anchors at the same distance, so a repeated window lies in blocks whose anchor
 occurs again, and only such blocks are indexed.
 
 A document is parsed into factors: runs of its words that stand in a reference block,
-copied from another place of the corpus. The index tells for each block the first and
-the last place that hold the same content; within the midst of copied text all
-blocks are of this kind. At a factor's ends a block shares its anchor, but not
+copied from another place of the corpus. The index tells for each block another
+place that holds the same content, that of the least row if it isn't its own; within the
+midst of copied text all blocks are of this kind. At a factor's ends a block shares its anchor, but not
 all its content, with other blocks; there every window of one representative of each
 content is looked up on its own, so a factor ends at the exact word. The parse
-goes from left to right and is greedy: a factor goes on for as long as one of the
-next block's places continues its source, and else another begins. As the index
+goes from left to right and is greedy: a factor goes on for as long as the next
+block's place continues its source, and else another begins. As the index
 holds windows, no factor is shorter than one; all become duplicate spans, and the
 words in them go.
 
@@ -136,52 +136,59 @@ def _boundary_windows(docs: DataFrame, heads: DataFrame) -> DataFrame:
     return met.select("_text", "_rid", "blocks").mapInArrow(run, "anchor long, content long, rid long, at int, h long")
 
 
+def _held() -> list:
+    """The places of a group: those in the least and in the largest row, and the least
+    and largest start, which tell two places where all are of one row."""
+    return [F.min("rid").alias("rid_a"), F.min_by("start", "rid").alias("at_a"), F.max("rid").alias("rid_b"), F.max_by("start", "rid").alias("at_b"), F.min("start").alias("low"), F.max("start").alias("high")]
+
+
+def _source() -> list:
+    """Another place than rid, start of the group that holds it."""
+    far, near = F.col("rid_a") != F.col("rid"), F.col("rid_b") != F.col("rid")
+    other = F.when(F.col("low") != F.col("start"), F.col("low")).otherwise(F.col("high"))
+    return [F.when(far, F.col("rid_a")).otherwise(F.col("rid_b")).alias("source"), F.when(far, F.col("at_a")).when(near, F.col("at_b")).otherwise(other).alias("there")]
+
+
 def indexed_places(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """rid and its list of start, windows and two places that hold the same words: runs
-    of windows that are repeated. Bounded by the length of the document."""
+    """rid and its list of start, windows, source, there: runs of windows that are
+    repeated, each with a place that holds the same words. Bounded by the length of
+    the document."""
     occurrences = scratch.save(block_table(docs), "blocks")
-    place = F.struct("rid", "start")
-    seen = occurrences.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("x"), F.max("content").alias("y"), F.min(place).alias("a"), F.max(place).alias("b")).where("n > 1")
+    seen = occurrences.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("x"), F.max("content").alias("y"), *_held()).where("n > 1")
     # Written first, so that AQE may split the partition of an anchor that is everywhere.
-    shared = scratch.save(seen.select(F.col("anchor").alias("k"), (F.col("x") != F.col("y")).alias("mixed"), "a", "b"), "shared")
-    found = scratch.save(occurrences.join(shared, F.col("anchor") == F.col("k")).drop("k"), "found")
+    shared = scratch.save(seen.withColumnRenamed("anchor", "k").withColumn("mixed", F.col("x") != F.col("y")).drop("n", "x", "y"), "shared")
+    met = occurrences.join(shared, F.col("anchor") == F.col("k"))
+    found = scratch.save(met.select("rid", "start", "windows", "mixed", *(F.when(~F.col("mixed"), c).alias(n) for c, n in zip(_source(), ("source", "there"))), *(F.when(F.col("mixed"), F.col(n)).alias(n) for n in ("anchor", "content"))), "found")
     scratch.drop("blocks")
-    places = [F.col("a.rid").alias("rid_a"), F.col("a.start").alias("at_a"), F.col("b.rid").alias("rid_b"), F.col("b.start").alias("at_b")]
-    plain = found.where("not mixed").select("rid", "start", "windows", *places)
-    mixed = found.where("mixed").drop("a", "b")
-    kinds = mixed.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("a"), F.max(place).alias("b"), F.first("windows").alias("windows"))
+    scratch.drop("shared")
+    mixed = found.where("mixed").drop("source", "there")
+    kinds = mixed.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min("windows").alias("windows"), *_held())
     kinds = scratch.save(kinds, "kinds")
-    heads = kinds.select("anchor", "content", F.col("a.rid").alias("rid"), F.col("a.start").alias("start"), "windows")
-    windows = scratch.save(_boundary_windows(docs, heads), "windows")
-    holder = F.struct("content", "rid", "at")
-    again = windows.groupBy("anchor", "h").agg(F.min(holder).alias("p"), F.max(holder).alias("q")).where("p.content <> q.content").withColumnRenamed("anchor", "ka").withColumnRenamed("h", "kh")
+    windows = scratch.save(_boundary_windows(docs, kinds.select("anchor", "content", F.col("rid_a").alias("rid"), F.col("at_a").alias("start"), "windows")), "windows")
+    again = windows.groupBy("anchor", "h").agg(F.min("content").alias("x"), F.max("content").alias("y"), *(f(n, "content").alias(f"{n}_{k}") for k, f in (("x", F.min_by), ("y", F.max_by)) for n in ("rid", "at")))
+    again = again.where("x <> y").withColumnRenamed("anchor", "ka").withColumnRenamed("h", "kh")
     # A content that occurs once has what its windows share with other contents.
     alone = kinds.where("n = 1").select(F.col("anchor").alias("oa"), F.col("content").alias("oc"))
     single = windows.join(again, (F.col("anchor") == F.col("ka")) & (F.col("h") == F.col("kh"))).join(alone, (F.col("anchor") == F.col("oa")) & (F.col("content") == F.col("oc")))
-    other = F.when(F.col("p.content") == F.col("content"), F.col("q")).otherwise(F.col("p"))
-    parts = single.select("rid", F.col("at").alias("start"), F.lit(1).alias("windows"), other["rid"].alias("rid_a"), other["at"].alias("at_a"), other["rid"].alias("rid_b"), other["at"].alias("at_b"))
-    twice = scratch.save(kinds.where("n > 1").select(F.col("anchor").alias("ka"), F.col("content").alias("kc"), "a", "b"), "twice")
-    copied = mixed.join(twice, (F.col("anchor") == F.col("ka")) & (F.col("content") == F.col("kc"))).select("rid", "start", "windows", *places)
-    row = F.struct(F.col("start").cast("int").alias("start"), F.col("windows").cast("int").alias("windows"), "rid_a", F.col("at_a").cast("int").alias("at_a"), "rid_b", F.col("at_b").cast("int").alias("at_b"))
+    own = F.col("x") == F.col("content")
+    parts = single.select("rid", F.col("at").alias("start"), F.lit(1).alias("windows"), F.when(own, F.col("rid_y")).otherwise(F.col("rid_x")).alias("source"), F.when(own, F.col("at_y")).otherwise(F.col("at_x")).alias("there"))
+    twice = scratch.save(kinds.where("n > 1").drop("n", "windows").withColumnRenamed("anchor", "ka").withColumnRenamed("content", "kc"), "twice")
+    copied = mixed.join(twice, (F.col("anchor") == F.col("ka")) & (F.col("content") == F.col("kc"))).select("rid", "start", "windows", *_source())
+    plain = found.where("not mixed").select("rid", "start", "windows", "source", "there")
+    row = F.struct(*(F.col(n).cast(t).alias(n) for n, t in (("start", "int"), ("windows", "int"), ("source", "long"), ("there", "int"))))
     return plain.unionByName(copied).unionByName(parts).groupBy("rid").agg(F.collect_set(row).alias("places"))
 
 
-def factors(rid: int, start: np.ndarray, windows: np.ndarray, rid_a: np.ndarray, at_a: np.ndarray, rid_b: np.ndarray, at_b: np.ndarray) -> list[tuple[int, int, int, int]]:
+def factors(start: np.ndarray, windows: np.ndarray, source: np.ndarray, there: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(first word, words, source, first word there) of the greedy parse of one
-    document. A block's own place is no source, unless a repeated row holds it too."""
-    order = np.lexsort((-windows, start))
-    out: list[list[int]] = []
-    end = source = shift = None  # of the windows of the factor that may go on
-    for s, n, *two in zip(*(x[order].tolist() for x in (start, windows, rid_a, at_a, rid_b, at_b))):
-        places = [(two[0], two[1] - s), (two[2], two[3] - s)]
-        others = [p for p in places if p != (rid, 0)] or places[:1]
-        if end == s and (source, shift) in others:
-            out[-1][1] += n
-        else:
-            source, shift = others[0]
-            out.append([s, n + WINDOW - 1, source, s + shift])
-        end = s + n
-    return [tuple(f) for f in out]
+    document: a factor goes on while the next block continues its source."""
+    order = np.lexsort((there, source, start))
+    s, n, src, shift = start[order], windows[order], source[order], (there - start)[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1] + n[:-1]) | (src[1:] != src[:-1]) | (shift[1:] != shift[:-1])
+    first = np.flatnonzero(new)
+    size = np.add.reduceat(n, first) if len(first) else n
+    return list(zip(s[first].tolist(), (size + WINDOW - 1).tolist(), src[first].tolist(), (s + shift)[first].tolist()))
 
 
 def covered(n_words: int, found: list[tuple[int, int, int, int]]) -> np.ndarray:
@@ -202,12 +209,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     schema = docs.schema.__class__([*docs.schema.fields]).add("_n_words", "long").add("_n_removed", "long").add("_kept", "string")
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     rows = docs.select("*", F.xxhash64(docs["doc_id"], text).alias("_rid"), text.alias("_text"))
-    met = rows.join(found, F.col("_rid") == F.col("rid"), "left").select(*names, "_text", "_rid", "places")
+    met = rows.join(found, F.col("_rid") == F.col("rid"), "left").select(*names, "_text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             words = split_words(batch.column(len(names)))
-            rids, lists = batch.column(len(names) + 1), batch.column(len(names) + 2)
+            lists = batch.column(len(names) + 1)
             raw, counts = words.data.tobytes(), words.counts
             removed, kept = np.zeros(batch.num_rows, np.int64), []
             for r in range(batch.num_rows):
@@ -215,7 +222,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 parts = text.split()
                 if lists[r].is_valid:
                     x = lists[r].values
-                    go = covered(int(counts[r]), factors(rids[r].as_py(), *(np.asarray(x.field(c)).astype(np.int64) for c in ("start", "windows", "rid_a", "at_a", "rid_b", "at_b"))))
+                    go = covered(int(counts[r]), factors(*(np.asarray(x.field(c)).astype(np.int64) for c in ("start", "windows", "source", "there"))))
                     removed[r] = go.sum()
                     parts = [parts[i] for i in np.flatnonzero(~go).tolist()]
                 kept.append(b" ".join(parts).decode())
