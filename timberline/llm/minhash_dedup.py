@@ -361,8 +361,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = scratch.save(texts, "texts")
     edges = scratch.save(verified_edges(docs, texts, scratch), "edges")
     labels = connected_components(edges, scratch, "last")
-    classes = texts.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = classes.groupBy("label").agg(F.min("rep").alias("class_id"))
+    classes = scratch.save(texts.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
+    # Written, so that AQE may split the partition of a class that holds most texts.
+    least = scratch.save(classes.groupBy("label").agg(F.min("rep").alias("class_id")), "least")
     classes = scratch.save(classes.join(least, "label").select("node", "class_id", "label"), "classes")
     return table.join(classes, "node").select("doc_id", "class_id", F.col("n").alias("n_words"), "node", "label")
 
