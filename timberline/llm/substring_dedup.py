@@ -112,7 +112,7 @@ def block_table(docs: DataFrame) -> DataFrame:
 
 
 def _boundary_windows(docs: DataFrame, heads: DataFrame) -> DataFrame:
-    """anchor, content, rid, at, h: every window of the representative blocks."""
+    """anchor, content, once, rid, at, h: every window of the representative blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
@@ -127,13 +127,13 @@ def _boundary_windows(docs: DataFrame, heads: DataFrame) -> DataFrame:
             nth = np.arange(len(block)) - np.repeat(np.cumsum(size) - size, size)
             place = get("start").astype(np.int64)[block] + nth
             h = signed(words.sequence_hash(hashed, words.first[:-1][owner][block] + place, WINDOW))
-            rid = np.asarray(batch.column(1))[owner][block]
-            yield pa.RecordBatch.from_arrays([pa.array(get("anchor")[block]), pa.array(get("content")[block]), pa.array(rid), pa.array(place.astype(np.int32)), pa.array(h)], names=["anchor", "content", "rid", "at", "h"])
+            rid, once = np.asarray(batch.column(1))[owner][block], x.field("once").take(pa.array(block))
+            yield pa.RecordBatch.from_arrays([pa.array(get("anchor")[block]), pa.array(get("content")[block]), once, pa.array(rid), pa.array(place.astype(np.int32)), pa.array(h)], names=["anchor", "content", "once", "rid", "at", "h"])
 
-    one_each = heads.groupBy("rid").agg(F.collect_list(F.struct("anchor", "content", "start", "windows")).alias("blocks"))
+    one_each = heads.groupBy("rid").agg(F.collect_list(F.struct("anchor", "content", "once", "start", "windows")).alias("blocks"))
     texts = _keyed(docs)
     met = texts.join(one_each, F.col("_rid") == F.col("rid"))
-    return met.select("_text", "_rid", "blocks").mapInArrow(run, "anchor long, content long, rid long, at int, h long")
+    return met.select("_text", "_rid", "blocks").mapInArrow(run, "anchor long, content long, once boolean, rid long, at int, h long")
 
 
 def _held() -> list:
@@ -164,12 +164,11 @@ def indexed_places(docs: DataFrame, scratch: Scratch) -> DataFrame:
     mixed = found.where("mixed").drop("source", "there")
     kinds = mixed.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min("windows").alias("windows"), *_held())
     kinds = scratch.save(kinds, "kinds")
-    windows = scratch.save(_boundary_windows(docs, kinds.select("anchor", "content", F.col("rid_a").alias("rid"), F.col("at_a").alias("start"), "windows")), "windows")
+    windows = scratch.save(_boundary_windows(docs, kinds.select("anchor", "content", (F.col("n") == 1).alias("once"), F.col("rid_a").alias("rid"), F.col("at_a").alias("start"), "windows")), "windows")
     again = windows.groupBy("anchor", "h").agg(F.min("content").alias("x"), F.max("content").alias("y"), *(f(n, "content").alias(f"{n}_{k}") for k, f in (("x", F.min_by), ("y", F.max_by)) for n in ("rid", "at")))
     again = again.where("x <> y").withColumnRenamed("anchor", "ka").withColumnRenamed("h", "kh")
     # A content that occurs once has what its windows share with other contents.
-    alone = kinds.where("n = 1").select(F.col("anchor").alias("oa"), F.col("content").alias("oc"))
-    single = windows.join(again, (F.col("anchor") == F.col("ka")) & (F.col("h") == F.col("kh"))).join(alone, (F.col("anchor") == F.col("oa")) & (F.col("content") == F.col("oc")))
+    single = windows.where("once").join(again, (F.col("anchor") == F.col("ka")) & (F.col("h") == F.col("kh")))
     own = F.col("x") == F.col("content")
     parts = single.select("rid", F.col("at").alias("start"), F.lit(1).alias("windows"), F.when(own, F.col("rid_y")).otherwise(F.col("rid_x")).alias("source"), F.when(own, F.col("at_y")).otherwise(F.col("at_x")).alias("there"))
     twice = scratch.save(kinds.where("n > 1").drop("n", "windows").withColumnRenamed("anchor", "ka").withColumnRenamed("content", "kc"), "twice")
