@@ -170,9 +170,11 @@ def indexed_places(docs: DataFrame, scratch: Scratch) -> DataFrame:
     # A content that occurs once has what its windows share with other contents.
     single = windows.where("once").join(again, (F.col("anchor") == F.col("ka")) & (F.col("h") == F.col("kh")))
     own = F.col("x") == F.col("content")
-    parts = single.select("rid", F.col("at").alias("start"), F.lit(1).alias("windows"), F.when(own, F.col("rid_y")).otherwise(F.col("rid_x")).alias("source"), F.when(own, F.col("at_y")).otherwise(F.col("at_x")).alias("there"))
+    parts = scratch.save(single.select("rid", F.col("at").alias("start"), F.lit(1).alias("windows"), F.when(own, F.col("rid_y")).otherwise(F.col("rid_x")).alias("source"), F.when(own, F.col("at_y")).otherwise(F.col("at_x")).alias("there")), "parts")
+    scratch.drop("windows")
     twice = scratch.save(kinds.where("n > 1").drop("n", "windows").withColumnRenamed("anchor", "ka").withColumnRenamed("content", "kc"), "twice")
     copied = mixed.join(twice, (F.col("anchor") == F.col("ka")) & (F.col("content") == F.col("kc"))).select("rid", "start", "windows", *_source())
+    copied = scratch.save(copied, "copied")
     plain = found.where("not mixed").select("rid", "start", "windows", "source", "there")
     row = F.struct(*(F.col(n).cast(t).alias(n) for n, t in (("start", "int"), ("windows", "int"), ("source", "long"), ("there", "int"))))
     return plain.unionByName(copied).unionByName(parts).groupBy("rid").agg(F.collect_set(row).alias("places"))
