@@ -8,6 +8,14 @@ return the columns of ``docs``. The stages decide on what their predecessor kept
 3. passages that repeat across documents are cut;
 4. documents that hold a benchmark item go;
 5. what is left is encoded, with digests of ids and decoded text.
+
+Defined cases: a null text is an empty one, which the classifier scores as the average
+good text and near duplicates take for equal to other empty ones; a null id is a
+document like any other; of repeated rows one stays; very long texts pass whole;
+without labels no document is rejected unless the threshold is above a half (all
+are then, as every score is a half); an empty benchmark drops nothing; empty
+documents give an empty result; further columns, whatever their names, pass
+through the filtering stages.
 """
 
 from __future__ import annotations
@@ -17,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from timberline.llm import bpe_codec, decontaminate, minhash_dedup, quality_classifier, substring_dedup
 from timberline.llm.scratch import Scratch
 
-#: The classifier and the alignments aren't SQL; tests hold run() against brute force.
+#: The classifier and the alignments aren't SQL; tests/llm holds run() against a version
+#: that scores every text, aligns all pairs, counts all windows and tries all places.
 ORACLE_SQL = None
 
 

@@ -670,3 +670,74 @@ def test_pipeline(spark, tmp_path):
     made = bpe_codec.codec(bpe_codec.vocabulary_path())
     cut = " ".join(texts[103].split()[:80])
     assert got[103].n_tokens == len(made.tokenizer.encode(cut, add_special_tokens=False).ids)
+
+
+def write_tables(spark, folder, documents, labels, benchmark):
+    documents.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Each stage by a plain version: every text is scored, all pairs are aligned, all
+    windows counted, all places tried, and the tokenizer is asked itself."""
+    import corpus_pipeline
+
+    rng = random.Random(33)
+    good = [prose(rng, rng.randint(30, 160)) for _ in range(70)]
+    bad = [" ".join(w.upper() + "!!" for w in prose(rng, rng.randint(30, 90)).split()) for _ in range(40)]
+    passages, items = [prose(rng, n) for n in (36, 60, 90)], [prose(rng, n) for n in (3, 18, 40)]
+    texts = good + bad
+    for k in range(30):  # near copies
+        w = rng.choice(good).split()
+        for i in rng.sample(range(len(w)), len(w) // 20):
+            w[i] = f"other{k}"
+        texts.append(" ".join(w))
+    texts += [f"{prose(rng, rng.randint(40, 70))}\n{rng.choice(passages)} {prose(rng, rng.randint(40, 70))}" for _ in range(12)]
+    for item in items:
+        w = item.split()
+        texts.append(f"{prose(rng, 50)} {' '.join(w)} {prose(rng, 40)}")
+        texts.append(f"{prose(rng, 50)} {' '.join(w[: len(w) // 2] + ['put'] * (len(w) > 5) + w[len(w) // 2 :])} {prose(rng, 40)}")
+    texts += ["", None, "A, b! <|endoftext|>", texts[0]]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    labels = [(i, int(i < 70), 0) for i in range(110)]
+    write_tables(spark, tmp_path, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), labels, list(enumerate(items)))
+
+    learned = [(i, q) for i, q, _ in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+    model = quality_classifier.fit([(texts[i].encode(), q) for i, q in learned], sum(q for _, q in learned) / len(learned))
+    a, b = quality_classifier._compressor(model.good), quality_classifier._compressor(model.bad)
+    left = {i: t or "" for i, t in enumerate(texts) if model.score(quality_classifier.difference((t or "").encode(), a, b, model.prior)) >= 0.7}
+    ids = list(left)
+    left = {ids[k]: left[ids[k]] for k, top in enumerate(classes([left[i] for i in ids])) if k == top}
+    count = Counter(tuple(w[i : i + 35]) for w in (t.encode().split() for t in left.values()) for i in range(len(w) - 34))
+    for k, t in left.items():
+        w = t.encode().split()
+        gone = {j for i in range(len(w) - 34) if count[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        left[k] = b" ".join(x for j, x in enumerate(w) if j not in gone).decode() if gone else t
+    split = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
+    holds = lambda t: any(least_edits(split(x), split(t)) <= decontaminate.edits_allowed(len(split(x))) for x in items)
+    left = {k: t for k, t in left.items() if not holds(t)}
+    made = bpe_codec.codec(bpe_codec.vocabulary_path()).tokenizer
+    want = set()
+    for k, t in left.items():
+        e = made.encode(t, add_special_tokens=False).ids
+        want.add((k, len(e), hashlib.sha256(np.array(e, "<u4").tobytes()).hexdigest(), hashlib.sha256(made.decode(e, skip_special_tokens=False).encode()).hexdigest()))
+    got = {tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()}
+    assert got == want and 60 < len(want) < 100
+
+
+def test_pipeline_takes_odd_and_empty_tables(spark, tmp_path, odd):
+    import corpus_pipeline
+
+    rng = random.Random(34)
+    labels = [(i, i % 2, 0) for i in range(1, 9)]
+    write_tables(spark, tmp_path / "odd", odd, labels, [(1, prose(rng, 20)), (None, None)])
+    stage = odd
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        stage = f(spark, stage, str(tmp_path / "odd"))
+        assert stage.columns == odd.columns
+    assert corpus_pipeline.run(spark, str(tmp_path / "odd")).count() <= odd.count()
+    write_tables(spark, tmp_path / "none", odd.limit(0), [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    write_tables(spark, tmp_path / "bare", odd, [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path / "bare")).count() == 0
