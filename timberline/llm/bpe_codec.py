@@ -15,8 +15,8 @@ Words of new chunks and of joins are told apart by 64-bit hashes within a slice,
 and each distinct one is looked up by its bytes; those that aren't stored are
 encoded by the tokenizer in one batch. Ids and decoded texts are then gathered for
 all units of a slice at once. Both stores belong to a worker process and are bounded;
-a full one lets go of the half that was used least recently, which costs time and
-never changes a result. A narrow map: no shuffle.
+a full one lets go of what was not used while it filled, which costs time and never
+changes a result. A narrow map: no shuffle.
 
 Defined cases: a null or empty text has no ids and decodes to ``''``; repeated
 rows are encoded row by row; very long texts are slices of their own; an empty
@@ -38,7 +38,8 @@ from timberline.llm.textkit import _BASE, _TABLE, LOWER, U, Words, _inverse, _po
 VOCABULARY = "word_bpe_49k.json"
 CHUNK_BITS = 8  # a chunk has 2 ** CHUNK_BITS bytes on average
 WINDOW = 16
-MAX_WORDS, MAX_CHUNKS = 400_000, 60_000
+MAX_WORDS, MAX_CHUNKS = 60_000, 8_000
+BATCH_WORDS = 4096
 
 
 def chunk_ends(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -79,36 +80,48 @@ def gather(pool: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Store:
-    """Bytes to ids and decoded text, bounded. Entries are numbers into columns."""
+    """Bytes to ids and decoded text, in two generations of at most ``most`` entries
+    and one slice's. Entries are numbers into columns of the newer one; what is asked
+    for again moves there from the older, which goes when the newer is full."""
 
     def __init__(self, most: int):
-        self.most, self.number = most, {}
+        self.most = most
+        self._begin()
+        self.older = self.number, self.ids, self.text, self.entry
+
+    def _begin(self) -> None:
+        self.number: dict[bytes, int] = {}
         self.ids, self.text = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
         self.entry = np.zeros((4, 0), np.int64)  # begin and size of ids, begin and size of text
-        self.used, self.clock = np.zeros(0, np.int64), 0
+
+    def __len__(self) -> int:
+        return self.entry.shape[1]
+
+    def missing(self, keys: list[bytes]) -> list[bytes]:
+        """The keys that neither generation has, once each."""
+        number, (old, ids, text, entry) = self.number, self.older
+        asked = dict.fromkeys(k for k in keys if k not in number)
+        back = [k for k in asked if k in old]
+        if back:
+            a, n, b, m = entry[:, [old[k] for k in back]]
+            self.add(back, gather(ids, a, n), n, gather(text, b, m), m)
+        return [k for k in asked if k not in old]
 
     def add(self, keys: list[bytes], ids: np.ndarray, id_sizes: np.ndarray, text: np.ndarray, text_sizes: np.ndarray) -> None:
-        self.number.update(zip(keys, range(len(self.used), len(self.used) + len(keys))))
+        self.number.update(zip(keys, range(len(self), len(self) + len(keys))))
         new = np.stack([len(self.ids) + np.cumsum(id_sizes) - id_sizes, id_sizes, len(self.text) + np.cumsum(text_sizes) - text_sizes, text_sizes])
         self.entry = np.concatenate([self.entry, new], axis=1)
         self.ids, self.text = np.concatenate([self.ids, ids]), np.concatenate([self.text, text])
-        self.used = np.concatenate([self.used, np.full(len(keys), self.clock)])
 
-    def touch(self, numbers: np.ndarray) -> None:
-        self.clock += 1
-        self.used[numbers] = self.clock
+    def turn(self) -> None:
+        """A full generation becomes the older one."""
+        if len(self) > self.most:
+            self.older = self.number, self.ids, self.text, self.entry
+            self._begin()
 
-    def shrink(self) -> None:
-        """Half of a full store goes: the entries that were used least recently."""
-        if len(self.used) <= self.most:
-            return
-        kept = np.sort(np.argsort(-self.used, kind="stable")[: self.most // 2])
-        place = np.full(len(self.used), -1)
-        place[kept] = np.arange(len(kept))
-        self.number = {k: p for k, n in self.number.items() if (p := int(place[n])) >= 0}
-        a, n, b, m = self.entry[:, kept]
-        self.ids, self.text, self.used = gather(self.ids, a, n), gather(self.text, b, m), self.used[kept]
-        self.entry = np.stack([np.cumsum(n) - n, n, np.cumsum(m) - m, m])
+    def rest(self) -> None:
+        """Between tasks only the newer generation is kept, as a worker has other work."""
+        self.older = {}, self.ids[:0], self.text[:0], self.entry[:, :0]
 
 
 class Codec:
@@ -147,14 +160,13 @@ class Codec:
         _, first, at = np.unique(words.hashes(start, end), return_index=True, return_inverse=True)
         said = [raw[i:j] for i, j in zip(start[first].tolist(), end[first].tolist())]
         store = self.words
-        missing = [w for w in said if w not in store.number]
-        if missing:
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)]
+        missing = store.missing(said)
+        for k in range(0, len(missing), BATCH_WORDS):
+            some = missing[k : k + BATCH_WORDS]
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
             texts = ["".join([self.pieces[i] + " " for i in e]).encode() for e in encoded]
-            store.add(missing, np.array([i for e in encoded for i in e], np.uint32), np.array([len(e) for e in encoded], np.int64), np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64))
-        number = np.array([store.number[w] for w in said], np.int64)
-        store.touch(number)
-        return number[at]
+            store.add(some, np.array([i for e in encoded for i in e], np.uint32), np.array([len(e) for e in encoded], np.int64), np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64))
+        return np.array([store.number[w] for w in said], np.int64)[at]
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[list[bytes], list[bytes]]:
         """Of each row of a slice the ids (little-endian, 32 bits) and the text that
@@ -177,12 +189,11 @@ class Codec:
         held, first, count = np.unique(chunk[core], return_index=True, return_counts=True)
         places = np.flatnonzero(core)
         keys = [raw[i:j] for i, j in zip(begins[held].tolist(), ends[held].tolist())]
-        known = self.chunks.number
-        new = {}
-        for k, key in enumerate(keys):
-            if key not in known:
-                new.setdefault(key, k)
-        fresh = np.fromiter(new.values(), np.int64, len(new))
+        new = dict.fromkeys(self.chunks.missing(keys))
+        for k in range(len(keys) - 1, -1, -1):
+            if keys[k] in new:
+                new[keys[k]] = k
+        fresh = np.array(list(new.values()), np.int64)
         self.encoded_chunks += len(fresh)
         mine = gather(places, first[fresh], count[fresh])  # the words of new chunks
         needed = ~core
@@ -193,10 +204,9 @@ class Codec:
             a, n, b, m = self.words.entry[:, number[mine]]
             cut = np.cumsum(count[fresh]) - count[fresh]
             self.chunks.add(list(new), gather(self.words.ids, a, n), np.add.reduceat(n, cut), gather(self.words.text, b, m), np.add.reduceat(m, cut))
-        taken = np.array([known[key] for key in keys], np.int64)
-        self.chunks.touch(taken)
+        taken = np.array([self.chunks.number[key] for key in keys], np.int64)
         # Units: a word of a join, or at the first word of a chunk the whole of it.
-        shift = self.words.entry.shape[1]
+        shift = len(self.words)
         entry = np.concatenate([self.words.entry, self.chunks.entry + np.array([[len(self.words.ids)], [0], [len(self.words.text)], [0]])], axis=1)
         unit = np.where(core, -1, number)
         unit[places[first]] = taken + shift
@@ -204,8 +214,8 @@ class Codec:
         a, n, b, m = entry[:, unit[used]]
         ids = gather(np.concatenate([self.words.ids, self.chunks.ids]), a, n)
         text = gather(np.concatenate([self.words.text, self.chunks.text]), b, m)
-        self.words.shrink()
-        self.chunks.shrink()
+        self.words.turn()
+        self.chunks.turn()
         id_at = np.concatenate([[0], np.cumsum(np.bincount(row[used], n, rows).astype(np.int64))]) * 4
         text_at = np.concatenate([[0], np.cumsum(np.bincount(row[used], m, rows).astype(np.int64))])
         ids, text = ids.tobytes(), text.tobytes()
@@ -250,6 +260,8 @@ def bpe_encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabul
                 columns += [pa.array([np.frombuffer(i, "<i4") for i in rows], pa.list_(pa.int32())), pa.array([t.decode() for t in decoded], pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        made.words.rest()
+        made.chunks.rest()
 
     more = ", ids array<int>, decoded string" if with_ids else ""
     return kept.mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
