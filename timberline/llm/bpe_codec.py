@@ -38,7 +38,7 @@ from timberline.llm.textkit import _BASE, _TABLE, LOWER, U, Words, _inverse, _po
 VOCABULARY = "word_bpe_49k.json"
 CHUNK_BITS = 8  # a chunk has 2 ** CHUNK_BITS bytes on average
 WINDOW = 16
-MAX_WORDS, MAX_CHUNKS = 60_000, 8_000
+MAX_WORDS, MAX_CHUNKS = 80_000, 8_000
 BATCH_WORDS = 4096
 
 
