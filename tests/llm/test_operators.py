@@ -562,6 +562,9 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, odd):
             w[k] = rng.choice(["x", "y", "z"])
         texts.append(" ".join(w))
     texts += [texts[0]] * 20 + ["", None, "a b", "a b", "one two three four five"]
+    from timberline.llm import components
+
+    monkeypatch.setattr(components, "FEW_EDGES", 20)
     got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(docs(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == classes(texts)
     kept = {r.doc_id for r in minhash_dedup.keep_one_each(docs(spark, texts)).collect()}
@@ -571,6 +574,24 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, odd):
     assert kept.where("doc_id in (6, 7)").count() == 1 and minhash_dedup.near_duplicates(none(spark)).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_components_equal_union_find(spark, tmp_path, monkeypatch, few):
+    from timberline.llm import components
+    from timberline.llm.scratch import Scratch
+
+    monkeypatch.setattr(components, "FEW_EDGES", few)
+    rng = random.Random(35)
+    pairs = [(k, k + 1) for k in range(0, 40)] + [tuple(rng.sample(range(50, 120), 2)) for _ in range(45)] + [(200, k) for k in range(201, 240)]
+    up = {n: n for p in pairs for n in p}
+    for _ in up:
+        for a, b in pairs:
+            up[a] = up[b] = min(up[a], up[b])
+    edges = spark.createDataFrame(pairs + pairs[:5], "a long, b long")
+    got = components.connected_components(edges, Scratch(spark, "cc")).collect()
+    assert len(got) == len(up) and {r.node: r.label for r in got} == up
+    assert components.connected_components(edges.limit(0), Scratch(spark, "cc")).count() == 0
+
+
 def test_unlike_texts_stay_under_no_id_and_under_one_id(spark):
     rng = random.Random(13)
     a, b, c, d, e = (prose(rng, 60) for _ in range(5))

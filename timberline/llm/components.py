@@ -3,20 +3,47 @@
 Minimum labels spread along edges and jump to the label of their label. Every
 round is two aggregations with map-side combine and one join, on narrow rows;
 rounds end when a count over all labels shows no change. No edge or label
-reaches the driver.
+reaches the driver. A graph of at most ``FEW_EDGES`` edges, by count, is one task's.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline.llm.scratch import Scratch
 
+FEW_EDGES = 10_000
+
+
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over all edges of a small graph; the smallest node is the label."""
+    up: dict = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    kind = pa.binary()
+    for batch in batches:
+        kind = batch.column(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            low, high = sorted((top(a), top(b)))
+            up[high] = low
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([top(x) for x in nodes], kind)], names=["node", "label"])
+
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
-    """``edges``: columns a, b (of one orderable type, a <> b). Returns node, label: the smallest
+    """``edges``: a written table with columns a, b (of one orderable type, a <> b). Returns node, label: the smallest
     node of the component, for every node that has an edge."""
+    if edges.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
+        kind = edges.schema["a"].dataType.simpleString()
+        return scratch.save(edges.select("a", "b").coalesce(1).mapInArrow(_few, f"node {kind}, label {kind}"), f"{name}-few")
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = scratch.save(both, f"{name}-edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))

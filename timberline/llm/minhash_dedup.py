@@ -230,9 +230,10 @@ def _unpacked(words) -> np.ndarray:
     return np.frombuffer(words, np.uint32)
 
 
-def verified_edges(docs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """a, b, similarity of verified pairs of distinct texts that connect all that
-    is linked. ``texts``: node, rep, n, s with one row per distinct text."""
+def verified_edges(docs: DataFrame, texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """node, label of the classes that pairs of texts make which met in a small bucket or
+    with a leader, and a, b of the pairs that link such classes further, if there may be
+    any. ``texts``: node, rep, n, s with one row per distinct text."""
     rows = texts.where("n > 0").select("node", F.explode(F.array_distinct("s")).alias("bucket"))
     shared = scratch.save(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     met = rows.join(shared, "bucket")
@@ -251,16 +252,17 @@ def verified_edges(docs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataF
     lead = scratch.save(lead.select("bucket", F.col("x.node").alias("b"), F.col("x.n").alias("bn")), "leaders")
     led = many.select("bucket", F.col("node").alias("a"), F.col("n").alias("an")).join(lead, "bucket").where(f"a <> b and {fits}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     edges = scratch.save(verify(each.unionByName(led).distinct(), words), "edges-led")
-    if not many.limit(1).count():
-        return edges
+    labels = connected_components(edges, scratch, "led")
 
     # Buckets whose texts aren't of one class yet: the rest are compared in blocks.
     # Texts that can be linked differ in length by less than a class of lengths.
-    labels = connected_components(edges, scratch, "led")
     known = scratch.save(many.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     still = known.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
     sized = F.floor(F.log(F.col("n") + 0.0) / F.log(F.lit(1 / THRESHOLD)) + 1e-6).cast("int")
-    rest = scratch.save(known.join(scratch.save(still, "open"), "bucket").withColumn("length", sized), "rest")
+    still = scratch.save(still, "open")
+    if not still.limit(1).count():
+        return labels, None
+    rest = scratch.save(known.join(still, "bucket").withColumn("length", sized), "rest")
     mass = scratch.save(rest.groupBy("bucket", "length").agg(F.ceil(F.sum("n") / BLOCK_WORDS).cast("int").alias("parts")), "mass")
     block = F.pmod(F.xxhash64("node"), "parts").cast("int").alias("block")
     placed = rest.join(mass, ["bucket", "length"]).select("bucket", "length", block, "node", "label").withColumnRenamed("node", "w")
@@ -270,7 +272,7 @@ def verified_edges(docs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataF
     right = packed.select("bucket", F.col("length").alias("own"), F.explode(F.array(F.col("length"), F.col("length") - 1)).alias("length"), F.col("block").alias("j"), F.col("rows").alias("y"))
     pairs = left.join(right, ["bucket", "length"]).where("own > length or i <= j").select("x", "y")
     found = pairs.mapInArrow(_compare_blocks, "a binary, b binary, similarity double")
-    return edges.unionByName(scratch.save(found.distinct(), "edges-rest"))
+    return labels, scratch.save(found.distinct(), "edges-rest")
 
 
 @dataclass
@@ -359,9 +361,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     table = scratch.save(sketch_table(docs), "sketches")
     texts = table.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("s").alias("s"))
     texts = scratch.save(texts, "texts")
-    edges = scratch.save(verified_edges(docs, texts, scratch), "edges")
-    labels = connected_components(edges, scratch, "last")
-    classes = scratch.save(texts.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
+    labels, further = verified_edges(docs, texts, scratch)
+    classes = texts.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    if further is not None:  # links between classes make a graph of classes
+        known = scratch.save(classes.select("node", "label"), "known")
+        ends = further.select("a", "b").join(known.toDF("a", "la"), "a").join(known.toDF("b", "lb"), "b")
+        ends = scratch.save(ends.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "ends")
+        top = connected_components(ends, scratch, "last")
+        classes = classes.join(top.toDF("label", "top"), "label", "left").select("node", "rep", F.coalesce("top", "label").alias("label"))
+    classes = scratch.save(classes, "named")
     # Written, so that AQE may split the partition of a class that holds most texts.
     least = scratch.save(classes.groupBy("label").agg(F.min("rep").alias("class_id")), "least")
     classes = scratch.save(classes.join(least, "label").select("node", "class_id", "label"), "classes")
