@@ -35,7 +35,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from timberline.llm.scratch import Scratch, qualified
 from timberline.llm.textkit import slices
