@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timberline import cli
+from timberline.operators import drain
 from timberline.plans import alert
 from timberline.plans.adapters import NOW_MS
 from timberline.project import Project, disk_status
@@ -66,6 +67,16 @@ def test_reads_sync_first_and_answer_in_envelopes(shell, tmp_path):
     assert {c["name"]: c["status"] for c in doc["data"]["checks"]} | {"disk": ""} == {"index": "healthy", "sources": "healthy", "disk": "", "lock": "healthy"}
 
 
+def test_patterns_are_of_all_rows(shell, tmp_path):
+    (tmp_path / "logs").mkdir()
+    n = drain.SCAN_ROWS + 10
+    (tmp_path / "logs" / "api.log").write_text("".join(entry(k % 3000, message=f"done {k}" if k % 2 else "gone", request_id=f"r{k}") + "\n" for k in range(n)))
+    code, (doc,) = shell("patterns")
+    got = {t["template"]: (t["count"], t["share_pct"]) for t in doc["data"]["templates"]}
+    assert code == 0 and doc["data"]["total_logs"] == doc["data"]["scanned"] == n and "sampled" not in shell.text
+    assert got == {"done <num>": (n // 2, 50.0), "gone": (n // 2, 50.0)}
+
+
 def test_failures_have_codes(shell, tmp_path):
     assert shell("search", "--status", "599-500")[1][0]["error"]["code"] == "usage"
     assert shell("get")[0] == 3 and shell("nonsense")[0] == 3 and shell("search", "--sort", "relevance")[0] == 3

@@ -155,6 +155,19 @@ def test_drain_by_token_count_equals_one_run(spark):
     assert got == serial and sum(c for _, c, _ in serial) == len(rows)
 
 
+def test_drain_follows_repetitions_that_go_to_a_template_grown_wider(spark):
+    # The second opens a template of its own; once the first is "x y <*> <*> <*> <*>", it goes there.
+    said = ["x y a b c d", "x y e f g h", "x y e f g h", "x y a b g h", "x y e b p q", "x y a f p q", "x y e f g h", "x y a b c d"]
+    rng = random.Random(6)
+    said += [" ".join(rng.choice("abcd") for _ in range(rng.choice([5, 6]))) for _ in range(700)] * 2
+    rows = [(m, f"2024-01-01T00:00:{k // 100:02d}.000Z", f"id{k:04d}", rng.choice(["info", "warn"]), m) for k, m in enumerate(said)]
+    tell = lambda c: (" ".join(c.template), c.count, c.first_seen, c.last_seen, c.example, c.samples, sorted(c.levels.items()))
+    serial = sorted(map(tell, drain.mine_serially(iter(rows))))
+    logs = spark.createDataFrame([(t, k, i, lv, m) for k, (m, t, i, lv, _) in enumerate(rows)], "timestamp string, ingest_seq long, log_id string, level string, message string").repartition(5)
+    got = sorted((r.template, r["count"], r.first_seen, r.last_seen, r.example, r.samples, sorted(r.levels.items())) for r in drain.patterns(logs, None, None).collect())
+    assert got == serial and sum(r[1] for r in got) == len(rows)
+
+
 def test_learn():
     assert suggest_patterns("[2024-03-25 10:00:00] [INFO] started")[0][2] == ["timestamp", "level", "message"]
     assert suggest_patterns("2024-03-25 10:00:00 | ERROR | it broke here")[0][1] == 0.92

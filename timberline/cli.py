@@ -210,11 +210,8 @@ class Run:
         kept = q.apply(self.logs())
         total = kept.count()
         names = {"share": "share_pct", "example": "sample_message", "samples": "sample_log_ids"}
-        mined = [{names.get(k, k): v for k, v in r.asDict().items() if k != "n_tokens"} for r in drain.patterns(kept, limit=max(1, a.limit)).collect()] if total else []
-        scanned = min(total, drain.SCAN_ROWS)
-        if total > scanned:
-            self.envelope.notice("sampled", f"Mined from the newest {scanned} of {total} rows.", "Narrow --last, --source or --level.")
-        self.emit({"total_logs": total, "scanned": scanned, "total_templates": len(mined), "templates": mined}, list_meta(len(mined), len(mined), q.echo(), a.limit), mined)
+        mined = [{names.get(k, k): v for k, v in r.asDict().items() if k != "n_tokens"} for r in drain.patterns(kept, None, max(1, a.limit)).collect()] if total else []
+        self.emit({"total_logs": total, "scanned": total, "total_templates": len(mined), "templates": mined}, list_meta(len(mined), len(mined), q.echo(), a.limit), mined)
         return 0 if mined else EMPTY
 
     def schema(self) -> int:
