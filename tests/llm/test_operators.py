@@ -592,6 +592,42 @@ def test_components_equal_union_find(spark, tmp_path, monkeypatch, few):
     assert components.connected_components(edges.limit(0), Scratch(spark, "cc")).count() == 0
 
 
+def test_components_join_the_links_of_a_group_once(spark, monkeypatch):
+    from timberline.llm import components
+    from timberline.llm.scratch import Scratch
+
+    monkeypatch.setattr(components, "FEW_EDGES", 20)
+    rng = random.Random(21)
+    nodes = rng.sample(range(1 << 40), 1200)
+    pairs = {(a, b) for g in range(3) for a in nodes[g * 300 : g * 300 + 300] for b in rng.sample(nodes[g * 300 : g * 300 + 300], 8) if a != b}
+    pairs |= {(a, b) for a, b in zip(nodes[900:], nodes[901:])}  # a path
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        low, high = sorted((top(a), top(b)))
+        up[high] = low
+    scratch = Scratch(spark, "cc")
+    edges = scratch.save(spark.createDataFrame(sorted(pairs), "a long, b long"), "edges")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    got = {r.node: r.label for r in components.connected_components(edges, scratch).collect()}
+    assert got == {x: top(x) for x in up}
+    made = 0
+    for k in range(before, store.executionsCount()):
+        run = store.executionsList(k, 1).apply(0).executionId()
+        told, plan = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (plan.apply(i) for i in range(plan.size())):
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if "Join" in node.name() and m.name() == "number of output rows" and told.contains(m.accumulatorId()):
+                    made += int(told.apply(m.accumulatorId()).replace(",", ""))
+    assert len(pairs) < made < 4 * len(pairs)
+
+
 def test_unlike_texts_stay_under_no_id_and_under_one_id(spark):
     rng = random.Random(13)
     a, b, c, d, e = (prose(rng, 60) for _ in range(5))

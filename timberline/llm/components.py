@@ -1,9 +1,11 @@
 """Connected components of a distributed edge table.
 
-Minimum labels spread along edges and jump to the label of their label. Every
-round is two aggregations with map-side combine and one join, on narrow rows;
-rounds end when a count over all labels shows no change. No edge or label
-reaches the driver. A graph of at most ``FEW_EDGES`` edges, by count, is one task's.
+In a round every node points to its smallest neighbour, if that is smaller than
+itself, and pointers jump until they end at roots: nodes smaller than all their
+neighbours, at most half of the nodes. Edges between nodes of one root then go, the
+others are those of a graph of roots, each once, for the next round; so a group with
+many links inside is joined with its labels once and not in every round. A graph of at
+most ``FEW_EDGES`` edges, by count, is one task's. No edge or label reaches the driver.
 """
 
 from __future__ import annotations
@@ -35,33 +37,38 @@ def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low, high = sorted((top(a), top(b)))
             up[high] = low
     nodes = list(up)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([top(x) for x in nodes], kind)], names=["node", "label"])
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([top(x) for x in nodes], kind)], names=["node", "label"])
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """``edges``: a written table with columns a, b (of one orderable type, a <> b). Returns node, label: the smallest
     node of the component, for every node that has an edge."""
-    if edges.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
-        kind = edges.schema["a"].dataType.simpleString()
-        return scratch.save(edges.select("a", "b").coalesce(1).mapInArrow(_few, f"node {kind}, label {kind}"), f"{name}-few")
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = scratch.save(both, f"{name}-edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
-    labels = scratch.save(labels, f"{name}-0")
+    kind = edges.schema["a"].dataType.simpleString()
+    rounds: list[DataFrame] = []
+    while edges.limit(FEW_EDGES + 1).count() > FEW_EDGES:
+        own = f"{name}-{len(rounds)}"
+        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+        roots = _roots(scratch.save(least.select("node", F.least("node", "m").alias("label")), f"{own}-up"), scratch, own)
+        ends = edges.join(roots.toDF("a", "la"), "a").join(roots.toDF("b", "lb"), "b").where("la <> lb")
+        edges = scratch.save(ends.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), f"{own}-ends")
+        rounds.append(roots)
+    labels = scratch.save(edges.select("a", "b").coalesce(1).mapInArrow(_few, f"node {kind}, label {kind}"), f"{name}-few")
+    for k, roots in reversed(list(enumerate(rounds))):
+        further = labels.toDF("label", "top")
+        labels = scratch.save(roots.join(further, "label", "left").select("node", F.coalesce("top", "label").alias("label")), f"{name}-{k}-labels")
+    return labels
+
+
+def _roots(up: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """node, label with the label's label in place of the label, until none changes."""
     step = 0
     while True:
         step += 1
-        heard = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("heard"))
-        spread = labels.join(heard, labels.node == heard.a).select("node", F.least("label", "heard").alias("label"), F.col("label").alias("was"))
-        spread = scratch.save(spread, f"{name}-{step}s")
-        target = spread.select(F.col("node").alias("t"), F.col("label").alias("next"))
-        moved = spread.join(target, spread.label == target.t).select("node", F.least("label", "next").alias("label"), "was")
-        moved = scratch.save(moved, f"{name}-{step}")
-        changed = moved.where("label <> was").limit(1).count()
-        scratch.drop(f"{name}-{step}s")
-        if step > 1:
-            scratch.drop(f"{name}-{step - 1}")
-        labels = moved.select("node", "label")
-        if not changed:
-            scratch.drop(f"{name}-edges")
-            return labels
+        target = up.toDF("t", "next")
+        moved = scratch.save(up.join(target, up["label"] == target["t"]).select("node", F.col("next").alias("label"), F.col("label").alias("was")), f"{name}-{step}")
+        scratch.drop(f"{name}-{step - 1}" if step > 1 else f"{name}-up")
+        up = moved.select("node", "label")
+        if not moved.where("label <> was").limit(1).count():
+            return up
